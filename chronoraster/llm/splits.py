@@ -58,7 +58,7 @@ def random_mate(edges: DataFrame, seed: int = 17, max_rounds: int = 500) -> Data
             above = labels.select(F.col("vertex").alias("label"), F.col("label").alias("_up"))
             now = now.join(above, "label", "left").select("vertex", F.coalesce("_up", "label").alias("label")).unionByName(labels)
         labels = now
-        if k % 6 == 5:
+        if k % 3 == 2:
             labels, old = keep(labels, "labels"), stage
             if old is not None:
                 drop_kept(old)
