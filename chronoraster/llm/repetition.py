@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import drop_kept, keep
 from .words import LETTERS, words
 
 CLASSES = ("lower", "upper", "digit", "space", "markup", "punctuation", "other")
@@ -38,6 +39,8 @@ def _repeated(ws: list[str], run: int) -> int:
         pair = code[:n] * (int(code.max()) + 1) + code[step : step + n]
         _, code = np.unique(pair, return_inverse=True)
         have += step
+        if have < run and int(code.max()) + 1 == len(code):
+            return 0  # no shorter run occurs twice, so no longer one does
     order = np.argsort(code, kind="stable")
     again = np.zeros(m, bool)
     s = code[order]
@@ -114,6 +117,7 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang")
             yield out()
 
     counts = rows.withColumn("lang", own).mapInPandas(count, "lang string, is_class boolean, what string, n bigint").groupBy("lang", "is_class", "what").agg(F.sum("n").alias("n"))
+    counts = keep(counts, "words")  # read twice below; counting words is the dear part
     first = F.row_number().over(Window.partitionBy("lang", "is_class").orderBy(F.desc("n"), "what"))
     whole = counts.filter("not is_class").groupBy("lang").agg(F.sum("n").alias("n")).limit(MAX_LANGUAGES + 1).collect()
     total = {r["lang"]: r["n"] for r in whole}
@@ -124,6 +128,7 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang")
             cl[int(r["what"])] = r["n"]
         else:
             ws[r["what"]] = r["n"] / total[r["lang"]]
+    drop_kept(counts)
     return {k: (cl / max(1, cl.sum()), ws) for k, (cl, ws) in refs.items()}
 
 
