@@ -56,9 +56,44 @@ def bucketed_rank(df: DataFrame, part: Sequence[str], bucket: Column, order: Seq
     offset of a bucket is the running sum of the counts of the earlier ones, so the window over
     ``part`` alone sees one row per bucket and never the rows themselves.
     """
-    b = df.withColumn("_bucket", bucket)
-    counts = b.groupBy(*part, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*part, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    ranked = b.withColumn("_rn", F.row_number().over(Window.partitionBy(*part, "_bucket").orderBy(*order)))
-    return ranked.join(offsets, [*part, "_bucket"]).withColumn(name, F.col("_before") + F.col("_rn")).drop("_bucket", "_before", "_rn")
+    b = df.withColumn("_rank_bucket", bucket)
+    counts = b.groupBy(*part, "_rank_bucket").agg(F.count(F.lit(1)).alias("_rank_n"))
+    before = Window.partitionBy(*part).orderBy("_rank_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*part, "_rank_bucket", F.coalesce(F.sum("_rank_n").over(before), F.lit(0)).alias("_rank_before"))
+    ranked = b.withColumn("_rank_in", F.row_number().over(Window.partitionBy(*part, "_rank_bucket").orderBy(*order)))
+    return ranked.join(offsets, [*part, "_rank_bucket"]).withColumn(name, F.col("_rank_before") + F.col("_rank_in")).drop("_rank_bucket", "_rank_before", "_rank_in")
+
+
+def split_series(df: DataFrame, key: str, order: str, halo: int, hot_rows: int = 500_000) -> DataFrame:
+    """Adds ``_part`` and ``_halo`` so that windows of bounded reach need not see a whole hot series.
+
+    Series with at least ``hot_rows`` rows are cut at quantiles of ``order`` (rows that tie stay
+    together), and each part also gets its neighbours' nearest ``halo`` rows, marked ``_halo``; a
+    window over (key, _part) then sees what it would see over the key. Others are one part.
+    """
+    plain = df.withColumns({"_part": F.lit(0), "_halo": F.lit(False)})
+    hot = heavy_keys(df.select(key), [key], hot_rows)
+    if not hot:
+        return plain
+    big = df.filter(key_in([key], hot))
+    n = {r[key]: r["n"] for r in big.groupBy(key).agg(F.count(F.lit(1)).alias("n")).collect()}
+    at = F.col(order).cast("timestamp") if dict(df.dtypes)[order] in ("timestamp", "timestamp_ntz", "date") else F.col(order)
+    at = F.unix_micros(at) if dict(df.dtypes)[order] in ("timestamp", "timestamp_ntz", "date") else at
+    part = F.lit(0)
+    for (k,) in hot:
+        m = min(4096, max(2, 2 * n[k] // hot_rows))
+        cuts = big.filter(F.col(key).eqNullSafe(F.lit(k))).agg(F.percentile_approx(at, [i / m for i in range(1, m)], 10_000)).first()[0] or []
+        marks = F.array(*[F.lit(c) for c in sorted(set(cuts))])
+        part = F.when(F.col(key).eqNullSafe(F.lit(k)), F.size(F.filter(marks, lambda e: e <= at))).otherwise(part)
+    cut = big.withColumn("_part", part)
+    # parts are numbered without gaps only by chance; neighbours are found by their dense rank
+    numbers = cut.select(key, "_part").distinct().withColumn("_dense", F.row_number().over(Window.partitionBy(key).orderBy("_part")) - 1)
+    cut = cut.join(numbers, [key, "_part"]).drop("_part").withColumnRenamed("_dense", "_part")
+    fore = F.row_number().over(Window.partitionBy(key, "_part").orderBy(order))
+    back = F.row_number().over(Window.partitionBy(key, "_part").orderBy(F.desc(order)))
+    edged = cut.withColumns({"_fore": fore, "_back": back})
+    copies = edged.filter((F.col("_fore") <= halo) & (F.col("_part") > 0)).withColumn("_part", F.col("_part") - 1).unionByName(
+        edged.filter(F.col("_back") <= halo).withColumn("_part", F.col("_part") + 1)
+    )
+    copies = copies.drop("_fore", "_back").withColumn("_halo", F.lit(True))
+    return plain.filter(~key_in([key], hot)).unionByName(cut.withColumn("_halo", F.lit(False)).select(plain.columns)).unionByName(copies.select(plain.columns))
