@@ -172,7 +172,7 @@ def _parts(rows: DataFrame, fields: Sequence[str], spec: ChartSpec) -> tuple[Dat
     if not hot:
         return plain, []
     size = max(spec.hot_rows // 2, rows.count() // 4096)
-    hot_rows = rows.filter(key_in(["id"], hot))
+    hot_rows = rows.filter(key_in("id", hot))
     counts = {r["id"]: r["count"] for r in hot_rows.groupBy("id").count().collect()}
     cuts: dict = {}
     for (k,) in hot:
@@ -205,7 +205,7 @@ def _parts(rows: DataFrame, fields: Sequence[str], spec: ChartSpec) -> tuple[Dat
     edged = split.withColumns({"_fore": any_of(fore), "_back": any_of(back)})
     halo = edged.filter("_fore and part > 0").withColumn("part", F.col("part") - 1).unionByName(edged.filter("_back").withColumn("part", F.col("part") + 1))
     halo = halo.withColumn("halo", F.lit(True)).drop("_fore", "_back")
-    return plain.filter(~key_in(["id"], hot)).unionByName(split.withColumn("halo", F.lit(False))).unionByName(halo), hot
+    return plain.filter(~key_in("id", hot)).unionByName(split.withColumn("halo", F.lit(False))).unionByName(halo), hot
 
 
 def _typical_steps(parted: DataFrame, hot: list, fields: Sequence[str], spec: ChartSpec) -> dict:
@@ -227,7 +227,7 @@ def _typical_steps(parted: DataFrame, hot: list, fields: Sequence[str], spec: Ch
                 yield pd.DataFrame({"id": sid[lead][1:][inner], "field": f, "step": np.abs(np.diff(v[lead]))[inner]})
 
     kind = dict(parted.dtypes)["id"]
-    own = parted.filter(key_in(["id"], hot))
+    own = parted.filter(key_in("id", hot))
     each = own.repartition("id", "part").sortWithinPartitions("id", "part", "t", "row_key").mapInPandas(steps, f"id {kind}, field string, step double")
     each = each.select("id", "field", F.round("step", 9).alias("step"))
     return {(r["id"], r["field"]): r["m"] for r in each.groupBy("id", "field").agg(F.percentile("step", 0.5).alias("m")).collect()}

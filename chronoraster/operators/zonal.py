@@ -6,7 +6,7 @@ decides. One grouped query serves all scenes and all annotations.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -74,20 +74,19 @@ def growing_buffer_ndvi(near: DataFrame, counts: DataFrame, by: list[str], ndvi:
     for k in range(rungs - 1, -1, -1):
         rung = F.when(F.col("dist") <= radii[k], k).otherwise(rung)
     veg = near.filter((F.col(scl) == VEGETATION) & F.col(ndvi).isNotNull()).withColumn("_k", rung).filter(F.col("_k") < rungs)
-    per = veg.groupBy(*by).agg(*[F.count(F.when(F.col("_k") <= k, 1)).alias(f"_c{k}") for k in range(rungs)])
-    need = F.greatest(F.lit(1), F.col("n") * factor)
-    pick = F.lit(None).cast("int")
-    for k in range(rungs - 1, -1, -1):
-        # while a buffer is still empty, growth ends beyond the limit
-        seen = F.greatest(*[F.when(F.col(f"_c{m}") > 0, 1).otherwise(0) for m in range(rungs) if radii[m] <= empty_limit], F.lit(0)) == 1
-        pick = F.when(seen & (F.col(f"_c{k}") >= need), F.lit(k)).otherwise(pick)
-    chosen = counts.join(per, by, "left").select(*by, pick.alias("_pick"))
+    group = Window.partitionBy(*by)
+    # while a buffer is still empty, growth ends beyond the limit
+    seen = F.min("_k").over(group) <= max([k for k in range(rungs) if radii[k] <= empty_limit], default=-1)
+    within = F.count(F.lit(1)).over(group.orderBy("_k").rangeBetween(Window.unboundedPreceding, 0))
+    need = counts.select(*by, F.greatest(F.lit(1), F.col("n") * factor).alias("_need"))
+    enough = veg.join(need, by).withColumn("_enough", F.when(seen & (within >= F.col("_need")), F.col("_k")))
+    picked = enough.withColumn("_pick", F.min("_enough").over(group))
     value = F.when(F.col("_k") <= F.col("_pick"), F.col(ndvi))
+    stats = picked.groupBy(*by).agg(F.max("_pick").alias("_pick"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"))
     radius = F.lit(None).cast("double")
     for k, r in enumerate(radii):
-        radius = F.when(F.col("_pick") == k, F.lit(r)).otherwise(radius)
-    stats = chosen.filter("_pick is not null").join(veg, by).groupBy(*by).agg(F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"))
-    return chosen.join(stats, by, "left").select(*by, radius.alias("radius"), "mean", "median")
+        radius = F.when(F.col("_pick") == k, F.lit(float(r))).otherwise(radius)
+    return counts.select(*by).join(stats, by, "left").select(*by, radius.alias("radius"), "mean", "median")
 
 
 def dating_stats(own: DataFrame, around: DataFrame, by: list[str]) -> DataFrame:

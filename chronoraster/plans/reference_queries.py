@@ -233,16 +233,22 @@ def ring_ndvi(spark, d):
     return z.select("ann_id", "date", r("ndvi").alias("ndvi"), r("ndvi_undist").alias("ndvi_undist"))
 
 
+def _vegetation_near(spark, d, own):
+    """Vegetation around the annotations on the days on which they have pixels of their own."""
+    dated = annotations(spark, d).join(own.select(F.col("ann_id").alias("id"), "date").distinct(), "id")
+    return zonal.pixels_around(pixels(spark, d).filter("scl = 4"), dated, ["cube_name", "date"], -1.0, 100 * 1.5**7)
+
+
 def buffer_ladder_ndvi(spark, d):
     own = zonal.gated_ndvi(_inside(spark, d), ["ann_id", "date"])
-    near = zonal.pixels_around(pixels(spark, d), annotations(spark, d), CUBE, -1.0, 100 * 1.5**7)
+    near = _vegetation_near(spark, d, own)
     z = zonal.growing_buffer_ndvi(near, own, ["ann_id", "date"], factor=1)
     return z.select("ann_id", "date", "radius", r("mean").alias("mean"), r("median").alias("median"))
 
 
 def dating_map(spark, d):
     own = zonal.gated_ndvi(_inside(spark, d), ["ann_id", "date"])
-    near = zonal.pixels_around(pixels(spark, d), annotations(spark, d), CUBE, -1.0, 100 * 1.5**7)
+    near = _vegetation_near(spark, d, own)
     z = zonal.dating_stats(own, zonal.growing_buffer_ndvi(near, own, ["ann_id", "date"], factor=1), ["ann_id", "date"])
     return z.select("ann_id", "date", *[r(c).alias(c) for c in ("ann_mean", "ann_median", "buf_mean", "buf_median")])
 

@@ -25,28 +25,28 @@ def heavy_keys(df: DataFrame, cols: Sequence[str], min_rows: int) -> list[tuple]
     return [tuple(r[c] for c in cols) for r in rows]
 
 
-def key_in(cols: Sequence[str], keys: list[tuple]) -> Column:
-    """True where the row's key is one of ``keys``; null-safe."""
-    out = F.lit(False)
-    for k in keys:
-        one = F.lit(True)
-        for c, v in zip(cols, k):
-            one = one & F.col(c).eqNullSafe(F.lit(v))
-        out = out | one
-    return out
+def key_in(col: str, keys: list[tuple]) -> Column:
+    """True where the column holds one of the keys, null among them; never null."""
+    known = [k for (k,) in keys if k is not None]
+    out = F.coalesce(F.col(col).isin(*known), F.lit(False)) if known else F.lit(False)
+    return out | F.col(col).isNull() if any(k is None for (k,) in keys) else out
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread_by: Column, min_rows: int = 100_000, salts: int = 32) -> DataFrame:
     """Inner equi-join that spreads the hot keys of ``big`` over ``salts`` tasks.
 
-    Rows of ``small`` are repeated only for hot keys. Without hot keys it is the plain join.
+    Rows of ``small`` are repeated only for hot keys. Without hot keys it is the plain join. Keys are
+    told hot by their hash, so the test is one set lookup however many columns and keys there are;
+    a key that shares a hot key's hash is salted on both sides, too.
     """
-    hot = heavy_keys(big.select(*on), on, min_rows)
+    kinds = dict(big.dtypes)
+    hashed = F.xxhash64(*[F.col(c).cast(kinds[c]) for c in on])
+    hot = [h for (h,) in heavy_keys(big.select(hashed.alias("_key")), ["_key"], min_rows)]
     if not hot:
         return big.join(small, list(on))
-    left = big.withColumn("_salt", F.when(key_in(on, hot), F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(F.lit(0)))
-    right = small.withColumn("_salt", F.explode(F.when(key_in(on, hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).cast("long"))
-    return left.withColumn("_salt", F.col("_salt").cast("long")).join(right, [*on, "_salt"]).drop("_salt")
+    left = big.withColumn("_salt", F.when(hashed.isin(*hot), F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
+    right = small.withColumn("_salt", F.explode(F.when(hashed.isin(*hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [*on, "_salt"]).drop("_salt")
 
 
 def bucketed_rank(df: DataFrame, part: Sequence[str], bucket: Column, order: Sequence[Column], name: str) -> DataFrame:
@@ -75,7 +75,7 @@ def split_series(df: DataFrame, key: str, order: str, halo: int, hot_rows: int =
     hot = heavy_keys(df.select(key), [key], hot_rows)
     if not hot:
         return plain
-    big = df.filter(key_in([key], hot))
+    big = df.filter(key_in(key, hot))
     n = {r[key]: r["n"] for r in big.groupBy(key).agg(F.count(F.lit(1)).alias("n")).collect()}
     at = F.col(order).cast("timestamp") if dict(df.dtypes)[order] in ("timestamp", "timestamp_ntz", "date") else F.col(order)
     at = F.unix_micros(at) if dict(df.dtypes)[order] in ("timestamp", "timestamp_ntz", "date") else at
@@ -96,4 +96,4 @@ def split_series(df: DataFrame, key: str, order: str, halo: int, hot_rows: int =
         edged.filter(F.col("_back") <= halo).withColumn("_part", F.col("_part") + 1)
     )
     copies = copies.drop("_fore", "_back").withColumn("_halo", F.lit(True))
-    return plain.filter(~key_in([key], hot)).unionByName(cut.withColumn("_halo", F.lit(False)).select(plain.columns)).unionByName(copies.select(plain.columns))
+    return plain.filter(~key_in(key, hot)).unionByName(cut.withColumn("_halo", F.lit(False)).select(plain.columns)).unionByName(copies.select(plain.columns))
