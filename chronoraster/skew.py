@@ -71,6 +71,7 @@ def split_series(df: DataFrame, key: str, order: str, halo: int, hot_rows: int =
     together), and each part also gets its neighbours' nearest ``halo`` rows, marked ``_halo``; a
     window over (key, _part) then sees what it would see over the key. Others are one part.
     """
+    hot_rows = max(hot_rows, 8 * halo)  # a part holds half of that, so halos come from the next part only
     plain = df.withColumns({"_part": F.lit(0), "_halo": F.lit(False)})
     hot = heavy_keys(df.select(key), [key], hot_rows)
     if not hot:

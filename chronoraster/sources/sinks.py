@@ -60,8 +60,25 @@ def clean(spark: SparkSession, root: str, derived: list[str]) -> list[str]:
 
 
 def array_metadata(spark: SparkSession, root: str) -> DataFrame:
-    """path, shape, dtype, fill_value, attributes of the arrays of a chunked array store (JSON files)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{.zarray,.zattrs}").load(root)
-    t = files.select(F.regexp_replace("path", r"/\.z(array|attrs)$", "").alias("path"), F.col("path").endswith(".zarray").alias("_a"), F.col("content").cast("string").alias("_c"))
-    a = t.filter("_a").select("path", F.from_json("_c", "shape array<bigint>, chunks array<bigint>, dtype string, fill_value string").alias("m")).select("path", "m.*")
-    return a.join(t.filter("not _a").select("path", F.col("_c").alias("attributes")), "path", "left")
+    """path, shape, chunks, dtype, fill_value, attributes of the arrays of a chunked array store.
+
+    Spark's file sources pass over names with a leading dot, so the small JSON files, down to two
+    folders below ``root``, are read through the file system; chunks are never listed.
+    """
+    jvm = spark._jvm
+    found: dict[str, dict[str, str]] = {}
+    for depth in ("", "*/", "*/*/"):
+        for name in (".zarray", ".zattrs"):
+            p = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{depth}{name}")
+            fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+            for status in fs.globStatus(p) or []:
+                stream = fs.open(status.getPath())
+                try:
+                    text = bytes(stream.readAllBytes()).decode()
+                finally:
+                    stream.close()
+                found.setdefault(status.getPath().getParent().toString(), {})[name] = text
+    rows = [(k, v[".zarray"], v.get(".zattrs")) for k, v in sorted(found.items()) if ".zarray" in v]
+    t = spark.createDataFrame(rows, "path string, _c string, attributes string")
+    m = F.from_json("_c", "shape array<bigint>, chunks array<bigint>, dtype string, fill_value string")
+    return t.select("path", m.alias("_m"), "attributes").select("path", "_m.*", "attributes")
