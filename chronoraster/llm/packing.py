@@ -152,12 +152,12 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def packed(sizes: DataFrame, specs: DataFrame, key: str = "doc_id", shard_items: int = 1024) -> DataFrame:
-    """spec_id, capacity_tokens, container, key, copy_no, piece_no, token_start, n_tokens.
+    """spec_id, capacity_tokens, container, key, doc_tokens, copy_no, piece_no, token_start, n_tokens.
 
     Every row of ``sizes`` (key, n_tokens) appears for every capacity: whole if it fits, else cut
     into full pieces, each a container, and a rest that is packed with other items. Items of size 0
-    (null or empty texts) lie in some container, too. Repeated rows are items of their own, told
-    apart by ``copy_no``; null keys are packed like others. Capacities that are null or not
+    (null or empty texts) lie in some container, too. Repeated rows are items of their own: key,
+    ``doc_tokens`` (the whole size) and ``copy_no`` name a row of the input; null keys are packed like others. Capacities that are null or not
     positive are passed over. No items give no containers.
     """
     rows = specs.filter("spec_id is not null and capacity_tokens > 0").distinct().limit(MAX_SPECS + 1).collect()
@@ -165,7 +165,7 @@ def packed(sizes: DataFrame, specs: DataFrame, key: str = "doc_id", shard_items:
         raise ValueError(f"at most {MAX_SPECS} capacities")
     kind = dict(sizes.dtypes)[key]
     if not rows:
-        return sizes.sparkSession.createDataFrame([], f"spec_id int, capacity_tokens int, container string, {key} {kind}, copy_no bigint, piece_no int, token_start bigint, n_tokens bigint")
+        return sizes.sparkSession.createDataFrame([], f"spec_id int, capacity_tokens int, container string, {key} {kind}, doc_tokens bigint, copy_no bigint, piece_no int, token_start bigint, n_tokens bigint")
     counted = keep(sizes.groupBy(F.col(key).alias("k"), F.col("n_tokens").alias("n")).agg(F.count(F.lit(1)).alias("c")), "sizes")
     shards = max(1, -(-(counted.agg(F.sum("c")).first()[0] or 0) // shard_items))
     items = counted.select("k", "n", F.explode(F.sequence(F.lit(1), "c")).alias("copy_no"))
@@ -173,7 +173,7 @@ def packed(sizes: DataFrame, specs: DataFrame, key: str = "doc_id", shard_items:
     cut = items.withColumn("_s", each).select("k", "n", "copy_no", "_s.*").withColumn("full", F.floor(F.col("n") / F.col("capacity_tokens")).cast("int"))
     full = cut.filter("full > 0").withColumn("piece_no", F.explode(F.sequence(F.lit(0), F.col("full") - 1)))
     full = full.select(
-        "spec_id", "capacity_tokens", F.concat_ws("-", F.lit("full"), F.coalesce(F.col("k").cast("string"), F.lit("null")), "n", "copy_no", "piece_no").alias("container"), "k", "copy_no", "piece_no",
+        "spec_id", "capacity_tokens", F.concat_ws("-", F.lit("full"), F.coalesce(F.col("k").cast("string"), F.lit("null")), "n", "copy_no", "piece_no").alias("container"), "k", "n", "copy_no", "piece_no",
         (F.col("piece_no").cast("bigint") * F.col("capacity_tokens")).alias("token_start"), F.col("capacity_tokens").cast("bigint").alias("n_tokens"),
     )
     rest = cut.withColumn("rest", F.col("n") - F.col("full").cast("bigint") * F.col("capacity_tokens")).filter("rest > 0 or n = 0")
@@ -184,12 +184,12 @@ def packed(sizes: DataFrame, specs: DataFrame, key: str = "doc_id", shard_items:
         spec, shard = pdf["spec_id"].iloc[0], pdf["shard"].iloc[0]
         w = pack(pdf["rest"].to_numpy(np.int64), int(pdf["capacity_tokens"].iloc[0]))
         return pd.DataFrame({
-            "spec_id": pdf["spec_id"], "capacity_tokens": pdf["capacity_tokens"], "container": [f"{spec}-{shard}-{x}" for x in w], "k": pdf["k"], "copy_no": pdf["copy_no"], "piece_no": pdf["full"],
+            "spec_id": pdf["spec_id"], "capacity_tokens": pdf["capacity_tokens"], "container": [f"{spec}-{shard}-{x}" for x in w], "k": pdf["k"], "doc_tokens": pdf["n"], "copy_no": pdf["copy_no"], "piece_no": pdf["full"],
             "token_start": pdf["full"].astype("int64") * pdf["capacity_tokens"], "n_tokens": pdf["rest"],
         })
 
-    schema = f"spec_id int, capacity_tokens int, container string, k {kind}, copy_no bigint, piece_no int, token_start bigint, n_tokens bigint"
-    return full.select("spec_id", "capacity_tokens", "container", "k", F.col("copy_no").cast("bigint").alias("copy_no"), "piece_no", "token_start", "n_tokens").unionByName(
+    schema = f"spec_id int, capacity_tokens int, container string, k {kind}, doc_tokens bigint, copy_no bigint, piece_no int, token_start bigint, n_tokens bigint"
+    return full.select("spec_id", "capacity_tokens", "container", "k", F.col("n").alias("doc_tokens"), F.col("copy_no").cast("bigint").alias("copy_no"), "piece_no", "token_start", "n_tokens").unionByName(
         rest.select("spec_id", "capacity_tokens", "shard", "k", "n", F.col("copy_no").cast("bigint").alias("copy_no"), "full", "rest").groupBy("spec_id", "shard").applyInPandas(window, schema)
     ).withColumnRenamed("k", key)
 
