@@ -81,9 +81,12 @@ def resample(pixels: DataFrame, by: list[str], bands: Sequence[str], factor: flo
 
 def contrast_stretch(pixels: DataFrame, by: list[str], band: str, low: float = 0.04, high: float = 0.96, clip: bool = False) -> DataFrame:
     """``pixels`` with ``stretched``: position between the two percentiles of the group, null if equal."""
-    p = pixels.groupBy(*by).agg(F.percentile(band, [low, high]).alias("_p")) if by else pixels.agg(F.percentile(band, [low, high]).alias("_p"))
+    if by:
+        joined = pixels.join(pixels.groupBy(*by).agg(F.percentile(band, [low, high]).alias("_p")), by)
+    else:  # two numbers
+        p = pixels.agg(F.percentile(band, [low, high]).alias("_p")).first()["_p"] or [None, None]
+        joined = pixels.withColumn("_p", F.array(*[F.lit(x).cast("double") for x in p]))
     s = F.try_divide(F.col(band) - F.col("_p")[0], F.col("_p")[1] - F.col("_p")[0])
-    joined = pixels.join(p, by) if by else pixels.crossJoin(F.broadcast(p))  # one row
     return joined.withColumn("stretched", F.greatest(F.lit(0.0), F.least(F.lit(1.0), s)) if clip else s).drop("_p")
 
 

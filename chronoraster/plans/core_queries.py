@@ -9,6 +9,7 @@ from ..operators.fill import fill_missing, filled_cells
 from ..operators.proximity import containing_regions, near_pairs
 from ..operators.regular_grid import regular_grid
 from ..operators.spikes import limit_flags, spike_flags
+from .reference_sql import _IN
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -78,12 +79,15 @@ with o as (select distinct id, floor((epoch(obs_time) - epoch(timestamp '2018-01
   where id is not null and obs_time is not null and not {_MISS.format("ndvi")} and ndvi between -1 and 1),
 g as (select id, unnest(generate_series(min(p), max(p))) p from o group by id)
 select id, p as period_no from g anti join o using (id, p)""",
-    "p5_found": """
+    "p5_near": """
 with v as (select id, crs, unnest(flatten(list_filter(rings, lambda r: r is not null))) p from annotations),
 c as (select distinct id, (min(p.x) + max(p.x)) / 2 cx, (min(p.y) + max(p.y)) / 2 cy,
   case when upper(crs) like '%UTM%' then (326 * 100 + regexp_extract(crs, 'zone (\\d+)', 1)::int)::varchar else regexp_extract(crs, '(\\d+)$', 1) end k
   from v where crs is not null and p.x is not null and p.y is not null group by id, crs)
-select distinct a.id as id_a, b.id as id_b from c a join c b on a.k = b.k and a.id < b.id and abs(a.cx - b.cx) <= 250 and (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) <= 62500""",
+select a.id as id_a, b.id as id_b, min(sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy))) distance
+from c a join c b on a.k = b.k and a.id < b.id and abs(a.cx - b.cx) <= 250 and (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) <= 62500 group by 1, 2""",
+    "p5_pixel_regions": f"with {_IN} select distinct pixel_id, ann_id as region_id from ins",
     "p6_found": " union ".join(f"(select * from ({_SERIES.format(f=f, m=_MISS.format(f))}))" for f in ("ndvi", "ndvi_undist"))
     + f" union select 'scl', pixel_id from xds_pixels where not {_MISS.format('scl')} and scl not between 0 and 11",
 }
+SQL["p5_found"] = f"select id_a, id_b from ({SQL['p5_near']})"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -39,7 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        found = os.environ.setdefault("CHRONORASTER_SCRATCH", tempfile.mkdtemp(prefix="chronoraster-"))
+        if "CHRONORASTER_SCRATCH" not in os.environ:
+            os.environ["CHRONORASTER_SCRATCH"] = tempfile.mkdtemp(prefix="chronoraster-")
+            atexit.register(shutil.rmtree, os.environ["CHRONORASTER_SCRATCH"], ignore_errors=True)
+        found = os.environ["CHRONORASTER_SCRATCH"]
     return found.rstrip("/")
 
 
@@ -59,6 +64,12 @@ def keep(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all tables this application kept. Results that are not yet written need them."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_kept(*frames: DataFrame) -> None:
     """Delete tables that ``keep`` wrote and nothing reads any more."""
     for df in frames:

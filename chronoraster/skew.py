@@ -7,6 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
+def tasks(df: DataFrame) -> int:
+    """Partitions for stages whose work is far larger than their bytes, which AQE would merge."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 #: At most so many keys can each hold more than 1/MAX_HOT of the rows, which bounds what heavy_keys collects.
 MAX_HOT = 1000
 
@@ -32,8 +39,8 @@ def key_in(col: str, keys: list[tuple]) -> Column:
     return out | F.col(col).isNull() if any(k is None for (k,) in keys) else out
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread_by: Column, min_rows: int = 100_000, salts: int = 32) -> DataFrame:
-    """Inner equi-join that spreads the hot keys of ``big`` over ``salts`` tasks.
+def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread_by: Column, min_rows: int = 100_000, salts: int = 32, how: str = "inner") -> DataFrame:
+    """Inner or left equi-join that spreads the hot keys of ``big`` over ``salts`` tasks.
 
     Rows of ``small`` are repeated only for hot keys. Without hot keys it is the plain join. Keys are
     told hot by their hash, so the test is one set lookup however many columns and keys there are;
@@ -43,10 +50,10 @@ def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread_by:
     hashed = F.xxhash64(*[F.col(c).cast(kinds[c]) for c in on])
     hot = [h for (h,) in heavy_keys(big.select(hashed.alias("_key")), ["_key"], min_rows)]
     if not hot:
-        return big.join(small, list(on))
+        return big.join(small, list(on), how)
     left = big.withColumn("_salt", F.when(hashed.isin(*hot), F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
     right = small.withColumn("_salt", F.explode(F.when(hashed.isin(*hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    return left.join(right, [*on, "_salt"]).drop("_salt")
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
 def bucketed_rank(df: DataFrame, part: Sequence[str], bucket: Column, order: Sequence[Column], name: str) -> DataFrame:
