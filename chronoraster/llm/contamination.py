@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import keep
+from ..skew import salted_join, tasks
 from .words import WordHashes, run_hashes, words
 
 GRAM = 5
@@ -174,8 +175,9 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", ite
     hits = found.select("seg", F.explode("hits").alias("h"))
     frequency = hits.groupBy("h").agg(F.count(F.lit(1)).alias("n")).join(grams.distinct(), "h", "left_semi")
     seeds = rare_seeds(tests, frequency, min_run)
-    candidates = hits.join(seeds, "h").select("item_id", "seg").distinct()
-    pairs = candidates.join(found.select("seg", "doc_id", "words"), "seg").join(tests.select("item_id", F.col("words").alias("item")), "item_id")
+    candidates = salted_join(hits, seeds, ["h"], F.col("seg")).select("item_id", "seg").distinct()
+    texts = candidates.join(found.select("seg", "doc_id", "words"), "seg")
+    pairs = salted_join(texts, tests.select("item_id", F.col("words").alias("item")), ["item_id"], F.col("seg"))
 
     def score(batches):
         for pdf in batches:
@@ -186,7 +188,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", ite
 
     kinds = dict(pairs.dtypes)
     # aligning is far dearer than reading a pair, so pairs are dealt out evenly
-    dealt = pairs.repartition(F.col("item_id"), F.col("seg"))
+    dealt = pairs.repartition(tasks(pairs), F.col("item_id"), F.col("seg"))
     each = dealt.mapInPandas(score, f"item_id {kinds['item_id']}, doc_id {kinds['doc_id']}, score int, matched_share double, longest_run int").filter(F.col("score") >= min_score)
     best = each.groupBy("item_id", "doc_id").agg(F.max("score").alias("score"), F.max("matched_share").alias("matched_share"), F.max("longest_run").alias("longest_run"))
     return best.select(F.col("item_id").alias(item_key), F.col("doc_id").alias(doc_key), "score", "matched_share", "longest_run")

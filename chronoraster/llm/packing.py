@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import keep
+from ..skew import tasks
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published splitting pattern of this byte-level vocabulary.
@@ -190,7 +191,7 @@ def packed(sizes: DataFrame, specs: DataFrame, key: str = "doc_id", shard_items:
 
     schema = f"spec_id int, capacity_tokens int, container string, k {kind}, doc_tokens bigint, copy_no bigint, piece_no int, token_start bigint, n_tokens bigint"
     return full.select("spec_id", "capacity_tokens", "container", "k", F.col("n").alias("doc_tokens"), F.col("copy_no").cast("bigint").alias("copy_no"), "piece_no", "token_start", "n_tokens").unionByName(
-        rest.select("spec_id", "capacity_tokens", "shard", "k", "n", F.col("copy_no").cast("bigint").alias("copy_no"), "full", "rest").groupBy("spec_id", "shard").applyInPandas(window, schema)
+        rest.select("spec_id", "capacity_tokens", "shard", "k", "n", F.col("copy_no").cast("bigint").alias("copy_no"), "full", "rest").repartition(tasks(rest), "spec_id", "shard").groupBy("spec_id", "shard").applyInPandas(window, schema)
     ).withColumnRenamed("k", key)
 
 
