@@ -39,16 +39,17 @@ def key_in(col: str, keys: list[tuple]) -> Column:
     return out | F.col(col).isNull() if any(k is None for (k,) in keys) else out
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread_by: Column, min_rows: int = 100_000, salts: int = 32, how: str = "inner") -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread_by: Column, min_rows: int = 100_000, salts: int = 32, how: str = "inner", hot_from: DataFrame | None = None) -> DataFrame:
     """Inner or left equi-join that spreads the hot keys of ``big`` over ``salts`` tasks.
 
-    Rows of ``small`` are repeated only for hot keys. Without hot keys it is the plain join. Keys are
+    Rows of ``small`` are repeated only for hot keys. Without hot keys it is the plain join. Counts
+    are taken of ``hot_from``, a table with the same keys that is cheaper to read, if given. Keys are
     told hot by their hash, so the test is one set lookup however many columns and keys there are;
     a key that shares a hot key's hash is salted on both sides, too.
     """
     kinds = dict(big.dtypes)
     hashed = F.xxhash64(*[F.col(c).cast(kinds[c]) for c in on])
-    hot = [h for (h,) in heavy_keys(big.select(hashed.alias("_key")), ["_key"], min_rows)]
+    hot = [h for (h,) in heavy_keys((big if hot_from is None else hot_from).select(hashed.alias("_key")), ["_key"], min_rows)]
     if not hot:
         return big.join(small, list(on), how)
     left = big.withColumn("_salt", F.when(hashed.isin(*hot), F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
