@@ -175,9 +175,9 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", ite
     hits = found.select("seg", F.explode("hits").alias("h"))
     frequency = hits.groupBy("h").agg(F.count(F.lit(1)).alias("n")).join(grams.distinct(), "h", "left_semi")
     seeds = rare_seeds(tests, frequency, min_run)
-    candidates = salted_join(hits, seeds, ["h"], F.col("seg")).select("item_id", "seg").distinct()
-    texts = candidates.join(found.select("seg", "doc_id", "words"), "seg")
-    pairs = salted_join(texts, tests.select("item_id", F.col("words").alias("item")), ["item_id"], F.col("seg"))
+    candidates = keep(salted_join(hits, seeds, ["h"], F.col("seg")).select("item_id", "seg").distinct(), "candidates")
+    sides = salted_join(candidates, tests.select("item_id", F.col("words").alias("item")), ["item_id"], F.col("seg"))
+    pairs = sides.join(found.select("seg", "doc_id", "words"), "seg")
 
     def score(batches):
         for pdf in batches:

@@ -43,7 +43,7 @@ def random_mate(edges: DataFrame, seed: int = 17, max_rounds: int = 500) -> Data
         moved = left
         for end in ("u", "v"):
             to = step.select(F.col("child").alias(end), F.col("parent").alias(f"_{end}"))
-            moved = salted_join(moved, to, [end], F.col("v" if end == "u" else "u"), HOT_ROWS, how="left").withColumn(end, F.coalesce(f"_{end}", end)).drop(f"_{end}")
+            moved = salted_join(moved, to, [end], F.col("v" if end == "u" else "u"), HOT_ROWS, how="left", hot_from=left).withColumn(end, F.coalesce(f"_{end}", end)).drop(f"_{end}")
         rest = keep(moved.filter("u <> v").select(lo.alias("u"), hi.alias("v")).distinct(), "edges")
         drop_kept(left)
         left = rest
@@ -75,7 +75,7 @@ def shared_tile_edges(pixels: DataFrame, entity: str, tile: list[str]) -> DataFr
     """u, v: each entity of a tile linked with the tile's smallest one, so n entities give n - 1 links."""
     held = pixels.filter(F.col(entity).isNotNull()).dropna(subset=tile).select(F.col(entity).alias("v"), *tile).distinct()
     lead = held.groupBy(*tile).agg(F.min("v").alias("u"))
-    return salted_join(held, lead, tile, F.col("v"), HOT_ROWS).filter("u <> v").select("u", "v")
+    return salted_join(held, lead, tile, F.col("v"), HOT_ROWS, hot_from=pixels).filter("u <> v").select("u", "v")
 
 
 def masked_pixels(pixels: DataFrame) -> DataFrame:
