@@ -18,6 +18,7 @@ from ..functions.predicates import time_valid
 from ..operators import changepoint, patches, raster, scenes, timeseries, zonal
 from ..operators.proximity import crs_code
 from ..skew import bucketed_rank
+from . import pipelines
 from .reference_sql import SQL  # noqa: F401
 
 CUBE = ["cube_name"]
@@ -393,6 +394,15 @@ def scene_chunks(spark, d):
     return ranked.select("scene_id", raster.chunk_number(F.col("rn") - 1, 7).alias("chunk"))
 
 
+def pipeline_change_dates(spark, d):
+    return pipelines.change_dates(pixels(spark, d), annotations(spark, d), CUBE)
+
+
+def pipeline_patches(spark, d):
+    z = pipelines.training_patches(_rasters(spark, d), pixels(spark, d), CUBE, SIZE, ["b02", "b04"])
+    return z.select("cube_name", "i", "j", "cls", "date", "band", F.size("values").alias("n"), F.aggregate("values", F.lit(0.0), lambda s, v: s + v).alias("total"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -400,6 +410,6 @@ QUERIES = {
         event_timeseries, ndvi_current, ndvi_old, ndwi, cross_ratio, linear_to_db, mean_sar, minmax, zscore, contrast_stretch, histogram_300, stacked_bands, tile_round_trip, resample_bilinear,
         annotation_boxes, pixel_in_annotation, pixel_touches_annotation, rasterize_mask, mask_attached, zonal_ndvi_gated, ring_ndvi, buffer_ladder_ndvi, dating_map, spectral_signature, signature_pivot,
         signature_json, scl_histogram, scl_map, ann_bad_pixel_filter, class_ring, nearby_ndvi, extent_pixels, annotations_reprojected, despike, cdndvi, slope_changes, best_date, change_points, patch_grid,
-        patch_classify, patch_classify_overlapping, patch_sample, patch_ratio_sample, patch_balance, patch_arrays, patch_extent, annotation_overlap, window_best_date, scene_chunks,
+        patch_classify, patch_classify_overlapping, patch_sample, patch_ratio_sample, patch_balance, patch_arrays, patch_extent, annotation_overlap, window_best_date, scene_chunks, pipeline_change_dates, pipeline_patches,
     )
 }

@@ -156,4 +156,24 @@ select cube_name, i, j, date, 'b04' as band, 4096 as n, sum(coalesce(v, 0)) tota
     "patch_extent": f"""with {_GRID.format(64, 64)}, tr as (select cube_name, max(geotransform) t from s2 group by 1)
 select cube_name, i, j, t.c + i * t.a minx, t.f + j * t.e + h * t.e miny, t.c + i * t.a + w * t.a maxx, t.f + j * t.e maxy from grid join tr using (cube_name)""",
     "scene_chunks": f"with {_CAT} select scene_id, ((row_number() over (order by scene_id) - 1) % 7) as chunk from cat",
+    "pipeline_patches": f"""with {_GRID.format(64, 64)}, {_PX}, {_CLASS.format(64)}, n as (select cube_name, floor(count(*) filter (cls = 'Annotation') * 0.3::double) want from cl group by 1),
+o as (select *, row_number() over (partition by cube_name order by md5('42:' || cube_name || ':' || i || ':' || j), i, j) rn from cl where cls <> 'Annotation'),
+k as (select cube_name, i, j, cls from cl where cls = 'Annotation' union all select o.cube_name, i, j, cls from o join n using (cube_name) where rn <= want),
+c as (select cube_name, (col_idx // 64) * 64 i, (row_idx // 64) * 64 j, date, row_idx, col_idx, max(b02) b02, max(b04) b04 from px group by all)
+select cube_name, i, j, cls, date, band, 4096 as n, sum(coalesce(v, 0)) total from (select cube_name, i, j, date, unnest(['b02', 'b04']) band, unnest([b02, b04]) v from c) join k using (cube_name, i, j) group by all""",
+    "pipeline_change_dates": f"""with {_IN}, {_TOUCH}, {_DIST.format(200, _CROSS)},
+o as (select ann_id id, date, coalesce(count(case when scl in (4, 5, 6) then 1 end) > 0.5 * count(scl), false) ok, avg(ndvi) v from px join touch using (pixel_id) group by 1, 2),
+g as (select ann_id id, date, avg(ndvi) filter (scl = 4) u from near where dist > 10 group by 1, 2),
+p as (select id, date, v, u from o left join g using (id, date) where ok and v is not null),
+a as (select *, median(v) over w med from p window w as (partition by id order by date rows between 2 preceding and 2 following)), b as (select *, abs(v - med) dev from a),
+d as (select *, median(dev) over (partition by id order by date rows between 2 preceding and 2 following) mad from b),
+e as (select id, date, u, case when (mad = 0 and dev > 0) or 0.6745 * dev / nullif(mad, 0) > 2 then med else v end v from d),
+f as (select id, date, avg(u) over w - avg(v) over w c from e window w as (partition by id order by date rows between 2 preceding and 2 following)),
+s as (select *, (lead(c) over w - c) / date_diff('day', date, lead(date) over w) s, row_number() over w i from f window w as (partition by id order by date)),
+t as (select *, avg(s) over b m, stddev_samp(s) over b sd, count(s) over b n, lead(s, 1) over w a1, lead(s, 2) over w a2, lead(s, 3) over w a3 from s
+  window w as (partition by id order by date), b as (partition by id order by date rows between 5 preceding and current row)),
+h as (select id, date from t where n = 6 and i > 6 and s > m + sd and a1 > m and a2 > m and a3 > m),
+j as (select *, case when date_diff('day', lag(date) over (partition by id order by date), date) <= 40 then 0 else 1 end nw from h), l as (select *, sum(nw) over (partition by id order by date) run from j),
+q as (select id, run, count(*) w, min(date) first, avg(date_diff('day', date '1970-01-01', date)) m from l group by 1, 2)
+select id as ann_id, date '1970-01-01' + floor(m)::int best_date from (select *, row_number() over (partition by id order by w desc, first) rn from q) where rn = 1""",
 }
