@@ -18,17 +18,20 @@ def tasks(df: DataFrame) -> int:
 MAX_HOT = 1000
 
 
-def heavy_keys(df: DataFrame, cols: Sequence[str], min_rows: int) -> list[tuple]:
+def heavy_keys(df: DataFrame, cols: Sequence[str], min_rows: int, weight: str | None = None) -> list[tuple]:
     """Keys that hold at least ``max(min_rows, rows / MAX_HOT)`` rows, most frequent first.
 
+    ``weight`` names a column that says how many rows a row of ``df`` stands for.
+
     The counts are combined before the shuffle; by the pigeonhole bound at most MAX_HOT keys come
     to the driver, whatever the size of ``df``. Null keys count as keys.
     """
-    total = df.count()
+    total = df.count() if weight is None else df.agg(F.sum(weight)).first()[0] or 0
     if total < min_rows:
         return []
     at = max(min_rows, -(-total // MAX_HOT))
-    rows = df.groupBy(*cols).count().filter(F.col("count") >= at).orderBy(F.desc("count")).limit(MAX_HOT).collect()
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    rows = df.groupBy(*cols).agg(n.alias("count")).filter(F.col("count") >= at).orderBy(F.desc("count")).limit(MAX_HOT).collect()
     return [tuple(r[c] for c in cols) for r in rows]
 
 
@@ -39,17 +42,18 @@ def key_in(col: str, keys: list[tuple]) -> Column:
     return out | F.col(col).isNull() if any(k is None for (k,) in keys) else out
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread_by: Column, min_rows: int = 100_000, salts: int = 32, how: str = "inner", hot_from: DataFrame | None = None) -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread_by: Column, min_rows: int = 100_000, salts: int = 32, how: str = "inner", hot_from: DataFrame | None = None, weight: str | None = None) -> DataFrame:
     """Inner or left equi-join that spreads the hot keys of ``big`` over ``salts`` tasks.
 
     Rows of ``small`` are repeated only for hot keys. Without hot keys it is the plain join. Counts
-    are taken of ``hot_from``, a table with the same keys that is cheaper to read, if given. Keys are
+    are taken of ``hot_from``, a table with the same keys that is cheaper to read, if given, where
+    ``weight`` says how many rows a row stands for. Keys are
     told hot by their hash, so the test is one set lookup however many columns and keys there are;
     a key that shares a hot key's hash is salted on both sides, too.
     """
     kinds = dict(big.dtypes)
     hashed = F.xxhash64(*[F.col(c).cast(kinds[c]) for c in on])
-    hot = [h for (h,) in heavy_keys((big if hot_from is None else hot_from).select(hashed.alias("_key")), ["_key"], min_rows)]
+    hot = [h for (h,) in heavy_keys((big if hot_from is None else hot_from).select(hashed.alias("_key"), *([weight] if weight else [])), ["_key"], min_rows, weight)]
     if not hot:
         return big.join(small, list(on), how)
     left = big.withColumn("_salt", F.when(hashed.isin(*hot), F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
