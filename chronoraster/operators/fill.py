@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import is_missing, usable
+from ..session import drop_kept, keep
 
 
 @dataclass(frozen=True)
@@ -56,30 +57,45 @@ def _donors(df: DataFrame, spec: FillSpec) -> DataFrame:
     )
 
 
-def mine_dependencies(df: DataFrame, spec: FillSpec | None = None) -> list[dict]:
-    """Support and confidence of every determinant for every field, from the complete records.
+def _agreement(donors: DataFrame, det: Sequence[str], names: list[str]) -> DataFrame:
+    """Per group of ``det`` with two or more rows: complete records ``_n``, whether they agree in
+    each field (``_same_<f>``), and the donors' common value (``_v_<f>``, null if they differ).
 
-    A record is complete when all fields hold a usable value. Support counts the records in
-    groups of two or more; confidence is the share of those whose group agrees in the field.
-    Returns one entry per (determinant, field), so a few numbers, whatever the size of ``df``.
+    A group of one row tells nothing about a dependency and can fill nothing.
     """
-    spec = spec or FillSpec()
+    complete = reduce(lambda a, b: a & b, [F.col(f"_v_{f}").isNotNull() for f in names])
+    aggs = [F.count(F.lit(1)).alias("_rows"), F.count(F.when(complete, 1)).alias("_n")]
+    for f in names:
+        v, c = F.col(f"_v_{f}"), F.when(complete, F.col(f"_v_{f}"))
+        aggs += [(F.min(c) == F.max(c)).alias(f"_same_{f}"), F.when(F.min(v) == F.max(v), F.min(v)).alias(f"_v_{f}")]
+    keyed = donors.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in det]))
+    return keyed.groupBy(*det).agg(*aggs).filter("_rows > 1").drop("_rows")
+
+
+def _mined(df: DataFrame, spec: FillSpec) -> tuple[list[dict], dict[tuple[str, ...], DataFrame]]:
+    """Statistics of every dependency, and the kept tables of groups behind them."""
     names = [f for f, *_ in spec.fields]
     donors = _donors(df, spec)
-    complete = donors.filter(reduce(lambda a, b: a & b, [F.col(f"_v_{f}").isNotNull() for f in names]))
-    out = []
-    for det in spec.determinants:
-        groups = (
-            complete.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in det]))
-            .groupBy(*det)
-            .agg(F.count(F.lit(1)).alias("_n"), *[(F.min(f"_v_{f}") == F.max(f"_v_{f}")).alias(f"_same_{f}") for f in names])
-            .filter("_n > 1")
-        )
-        row = groups.agg(F.sum("_n").alias("n"), *[F.sum(F.when(F.col(f"_same_{f}"), F.col("_n"))).alias(f) for f in names]).first()
+    out, tables = [], {}
+    for det in map(tuple, spec.determinants):
+        tables[det] = keep(_agreement(donors, det, names), "agreement")
+        row = tables[det].filter("_n > 1").agg(F.sum("_n").alias("n"), *[F.sum(F.when(F.col(f"_same_{f}"), F.col("_n"))).alias(f) for f in names]).first()
         for f in names:
             n = row["n"] or 0
             conf = (row[f] or 0) / n if n else 0.0
             out.append({"determinant": det, "field": f, "support": n, "confidence": conf, "verified": n >= spec.min_support and conf >= spec.min_confidence})
+    return out, tables
+
+
+def mine_dependencies(df: DataFrame, spec: FillSpec | None = None) -> list[dict]:
+    """Support and confidence of every determinant for every field, from the complete records.
+
+    A record is complete when all fields hold a usable value. Support counts the complete records
+    in groups of two or more; confidence is the share of those whose group agrees in the field.
+    Returns one entry per (determinant, field), so a few numbers, whatever the size of ``df``.
+    """
+    out, tables = _mined(df, spec or FillSpec())
+    drop_kept(*tables.values())
     return out
 
 
@@ -93,9 +109,9 @@ def fill_missing(df: DataFrame, spec: FillSpec | None = None, dependencies: list
     an empty table. Extra columns pass through.
     """
     spec = spec or FillSpec()
-    deps = mine_dependencies(df, spec) if dependencies is None else dependencies
     donors = _donors(df, spec)
     names = [f for f, *_ in spec.fields]
+    deps, mined = _mined(df, spec) if dependencies is None else (dependencies, {})
     kinds = dict(df.dtypes)
     gap = reduce(lambda a, b: a | b, [is_missing(f) for f in names])
     whole = df.filter(~gap)
@@ -121,12 +137,15 @@ def fill_missing(df: DataFrame, spec: FillSpec | None = None, dependencies: list
             for f, *_ in fields:
                 want(g, f, kind, "group")
     for g, items in wanted.items():
-        aggs = []
-        for f, kind, name in items:
-            v = F.col(f"_v_{f}")
-            aggs.append({"fd": F.when(F.min(v) == F.max(v), F.min(v)), "mean": F.avg(v), "mode": F.mode(v, True)}[kind].alias(name))
-        table = donors.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in g])).groupBy(*g).agg(*aggs)
-        todo = todo.join(table, list(g), "left")
+        keyed = donors.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in g]))
+        dictionary = [(f, name) for f, kind, name in items if kind == "fd"]
+        if dictionary:
+            table = mined[g] if g in mined else _agreement(donors, g, names)
+            todo = todo.join(table.select(*g, *[F.col(f"_v_{f}").alias(name) for f, name in dictionary]), list(g), "left")
+        aggs = [(F.avg(f"_v_{f}") if kind == "mean" else F.mode(f"_v_{f}", True)).alias(name) for f, kind, name in items if kind != "fd"]
+        if aggs:
+            todo = todo.join(keyed.groupBy(*g).agg(*aggs), list(g), "left")
+    drop_kept(*[t for g, t in mined.items() if not any(d["verified"] and tuple(d["determinant"]) == g for d in deps)])
     overall = donors.agg(*[(F.avg(f"_v_{f}") if i < len(spec.numeric) else F.mode(f"_v_{f}", True)).alias(f"_all_{f}") for i, f in enumerate(names)]).first()
     for f in names:
         chain[f].append(("group:all", F.lit(overall[f"_all_{f}"] if overall else None)))
