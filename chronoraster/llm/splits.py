@@ -135,12 +135,12 @@ def grouped_splits(pixels: DataFrame, shares: DataFrame, key: str = "pixel_id",
     tile = list(tile)
     m = masked_pixels(pixels).select(F.col(key).alias("_k"), F.col(entity).alias("_e"), *[F.col(c).alias(f"_t{i}") for i, c in enumerate(tile)])
     t = [f"_t{i}" for i in range(len(tile))]
-    labels = random_mate(shared_tile_edges(m, "_e", t), seed)
     has_tile = F.lit(True)
     for c in t:
         has_tile = has_tile & F.col(c).isNotNull()
     # counts per entity and tile are far fewer than pixels; all but the last join run on them
-    units = m.groupBy("_e", *t).agg(F.count(F.lit(1)).alias("weight"))
+    units = keep(m.groupBy("_e", *t).agg(F.count(F.lit(1)).alias("weight")), "units")
+    labels = random_mate(shared_tile_edges(units, "_e", t), seed)
     named = units.filter("_e is not null")
     ids = named.groupBy("_e").agg(F.sum("weight").alias("weight")).join(labels.select(F.col("vertex").alias("_e"), F.col("label")), "_e", "left")
     ids = keep(ids.select("_e", F.concat(F.lit("e:"), F.coalesce("label", "_e").cast("string")).alias("group_key"), "weight"), "ids")
@@ -154,8 +154,8 @@ def grouped_splits(pixels: DataFrame, shares: DataFrame, key: str = "pixel_id",
     tile_split = bare.select(*t, "group_key").join(splits, "group_key")
     out = ["_k", "_e", "group_key", "split_name"]
     whole = (
-        salted_join(m.filter("_e is not null").select("_k", "_e"), id_split, ["_e"], F.col("_k")).select(*out)
-        .unionByName(salted_join(m.filter(F.col("_e").isNull() & has_tile), tile_split, t, F.col("_k")).select(*out))
+        salted_join(m.filter("_e is not null").select("_k", "_e"), id_split, ["_e"], F.col("_k"), hot_from=named, weight="weight").select(*out)
+        .unionByName(salted_join(m.filter(F.col("_e").isNull() & has_tile), tile_split, t, F.col("_k"), hot_from=units.filter(F.col("_e").isNull() & has_tile), weight="weight").select(*out))
         .unionByName(loose.join(splits, "group_key").select(*out))
     )
     return whole.select(F.col("_k").alias(key), F.col("_e").alias(entity), "group_key", "split_name")
