@@ -44,7 +44,9 @@ def pixels_around(pixels: DataFrame, annotations: DataFrame, group: list[str], i
     ``inner`` below 0 takes the annotation in.
     """
     met = candidates(pixels, annotations, group, outer, **kw)
-    return met.withColumn("dist", G.distance(F.col("edges"), F.col("x"), F.col("y"))).filter((F.col("dist") > inner) & (F.col("dist") <= outer)).drop("edges")
+    # a generated column is computed once; a projected one would be copied into every filter on it
+    once = F.explode(F.array(G.distance(F.col("edges"), F.col("x"), F.col("y"))))
+    return met.withColumn("dist", once).filter((F.col("dist") > inner) & (F.col("dist") <= outer)).drop("edges")
 
 
 def gated_ndvi(inside: DataFrame, by: list[str], ndvi: str = "ndvi", scl: str = "scl", threshold: float = 70.0) -> DataFrame:
