@@ -1,10 +1,10 @@
 """Evaluation passages inside training texts.
 
 Runs of five words of the test items are looked up in every document; a hit yields the stretch of
-the document around it. For each window of twelve words of an item, its rarest run in the corpus
-is a seed, so a copied window is met by a seed for certain and stock phrases seed nothing where
-anything rarer stands next to them. Stretches that share a seed with an item are aligned with it by
-Smith and Waterman's method, which scores edited copies, and the longest common run is taken.
+the document around it. Every run of an item is a seed, so every stretch that shares a run with an
+item is aligned with it by Smith and Waterman's method, which scores edited copies, and the longest
+common run is taken. Scores are taken of many pairs at once; only pairs that reach the least score
+are traced back.
 """
 
 from __future__ import annotations
@@ -96,29 +96,6 @@ def stretches(docs: DataFrame, table: np.ndarray, margin: int, key: str = "doc_i
     return found.dropDuplicates(["seg"])
 
 
-def rare_seeds(items: DataFrame, frequency: DataFrame, window: int = 12) -> DataFrame:
-    """item_id, h: of each window of ``window`` words the run with the fewest stretches in the corpus.
-
-    Runs that the corpus does not hold cannot seed; a window holding one is nowhere copied whole,
-    and its rarest present run seeds edited copies.
-    """
-    pos = items.select("item_id", F.posexplode("grams").alias("pos", "h")).join(frequency, "h")
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pos", "h"], ignore_index=True)
-        p, n, h = (pdf[c].to_numpy() for c in ("pos", "n", "h"))
-        reach = max(1, window - GRAM + 1)
-        best = set()
-        for start in range(max(0, int(p[0]) - reach + 1), int(p[-1]) + 1):
-            a, b = np.searchsorted(p, start), np.searchsorted(p, start + reach)
-            if b > a:
-                best.add(h[a + np.lexsort((h[a:b], n[a:b]))[0]])
-        return pd.DataFrame({"item_id": pdf["item_id"].iloc[0], "h": sorted(best)})
-
-    kind = dict(items.dtypes)["item_id"]
-    return pos.groupBy("item_id").applyInPandas(choose, f"item_id {kind}, h bigint").distinct()
-
-
 def align(a: list[str], b: list[str], match: int = 2, miss: int = -1, gap: int = -1) -> tuple[int, int, int]:
     """Best local alignment score, words of ``a`` it matches, longest common run."""
     ids: dict[str, int] = {}
@@ -126,21 +103,19 @@ def align(a: list[str], b: list[str], match: int = 2, miss: int = -1, gap: int =
     y = np.array([ids.get(w, -1) for w in b], np.int64)
     n = len(y)
     ramp = np.arange(n + 1) * gap
-    row, run = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
-    rows, longest = [row], 0
-    for w in x:
-        same = y == w
-        new = np.zeros(n + 1, np.int64)
-        np.maximum(row[:-1] + np.where(same, match, miss), row[1:] + gap, out=new[1:])
+    same = x[:, None] == y
+    gain = np.where(same, match, miss)
+    m = np.zeros((len(x) + 1, n + 1), np.int64)
+    for row, new, g in zip(m, m[1:], gain):
+        np.maximum(row[:-1] + g, row[1:] + gap, out=new[1:])
         np.maximum(new, 0, out=new)
-        new = np.maximum.accumulate(new - ramp) + ramp  # gaps along b
-        rows.append(new)
-        row = new
-        nxt = np.zeros(n + 1, np.int64)
-        nxt[1:] = np.where(same, run[:-1] + 1, 0)
-        run = nxt
-        longest = max(longest, int(run.max()))
-    m = np.stack(rows)
+        new -= ramp
+        np.maximum.accumulate(new, out=new)  # gaps along b
+        new += ramp
+    # equal words in the order of the diagonals: a common run is a run of consecutive places
+    p, q = np.nonzero(same)
+    place = np.sort((q - p) * (len(x) + 1) + p)
+    longest = int(np.diff(np.r_[0, np.flatnonzero(np.diff(place) != 1) + 1, len(place)]).max()) if len(place) else 0
     best = int(m.max())
     i, j = np.unravel_index(int(m.argmax()), m.shape)
     matched = 0
@@ -157,13 +132,55 @@ def align(a: list[str], b: list[str], match: int = 2, miss: int = -1, gap: int =
     return best, matched, longest
 
 
+def best_scores(items: list[str], texts: list[str], match: int = 2, miss: int = -1, gap: int = -1, cells: int = 1 << 16) -> np.ndarray:
+    """Best local alignment score of each pair of texts (words between spaces), as ``align`` gives it.
+
+    Pairs of like length advance together, one word of the items a step, in blocks of at most
+    ``cells`` cells (a pair at least).
+    """
+    ids: dict[str, int] = {}
+    known: dict[str, np.ndarray] = {}
+
+    def coded(t: str) -> np.ndarray:
+        if t not in known:
+            known[t] = np.array([ids.setdefault(w, len(ids)) for w in t.split()], np.int32)
+        return known[t]
+
+    xs, ys = [coded(t) for t in items], [coded(t) for t in texts]
+    nx, ny = np.array([len(x) for x in xs], np.int64), np.array([len(y) for y in ys], np.int64)
+    out, order, at = np.zeros(len(xs), np.int64), np.lexsort((nx, ny))[::-1], 0
+    while at < len(order):
+        n = int(ny[order[at]])
+        block = order[at : at + max(1, cells // (n + 1))]
+        at += len(block)
+        m = int(nx[block].max())
+        kind = np.int16 if (match + 1) * (m + n + 1) < 1 << 15 else np.int32
+        x, y = np.full((m, len(block)), -1, np.int32), np.full((n, len(block)), -2, np.int32)
+        for k, i in enumerate(block):
+            x[: nx[i], k], y[: ny[i], k] = xs[i], ys[i]
+        ramp = (np.arange(n + 1) * gap).astype(kind)[:, None]
+        row, best = np.zeros((n + 1, len(block)), kind), np.zeros(len(block), kind)
+        for w in x:
+            new = np.zeros_like(row)
+            np.maximum(row[:-1] + np.where(y == w, kind(match), kind(miss)), row[1:] + kind(gap), out=new[1:])
+            np.maximum(new, 0, out=new)
+            new -= ramp
+            np.maximum.accumulate(new, axis=0, out=new)
+            new += ramp
+            np.maximum(best, new.max(axis=0), out=best)
+            row = new
+        out[block] = best
+    return out
+
+
 def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", min_run: int = 12, min_score: int | None = None) -> DataFrame:
     """item_id, doc_id, score, matched_share, longest_run: each document and the items it holds.
 
     ``score`` is the best local alignment (2 a match, -1 a mismatch or gap) over the stretches of
     the document, ``matched_share`` the share of the item's words in it, ``longest_run`` the
     longest run of words they have in common. Pairs below ``min_score`` (default: the score of a
-    run of ``min_run`` words) are left out, so every pair with such a run is found. Texts that are
+    run of ``min_run`` words) are left out, so every pair with such a run is found, and every edited
+    copy that reaches the score and keeps a run of five words, whatever other copies exist. Texts that are
     null, empty or without words match nothing; items below five words cannot seed. Rows without
     key are passed over; repeated rows give a pair once. Other columns do not matter.
     """
@@ -173,17 +190,17 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", ite
     margin = tests.agg(F.max(F.size("words"))).first()[0] or 0
     found = keep(stretches(docs.select(doc_key, text), gram_filter(grams), margin, doc_key, text), "stretches")
     hits = found.select("seg", F.explode("hits").alias("h"))
-    frequency = hits.groupBy("h").agg(F.count(F.lit(1)).alias("n")).join(grams.distinct(), "h", "left_semi")
-    seeds = rare_seeds(tests, frequency, min_run)
+    seeds = tests.select("item_id", F.explode("grams").alias("h")).distinct()
     candidates = keep(salted_join(hits, seeds, ["h"], F.col("seg")).select("item_id", "seg").distinct(), "candidates")
-    sides = salted_join(candidates, tests.select("item_id", F.col("words").alias("item")), ["item_id"], F.col("seg"))
+    sides = salted_join(candidates, tests.select("item_id", F.array_join("words", " ").alias("item")), ["item_id"], F.col("seg"))
     pairs = sides.join(found.select("seg", "doc_id", "words"), "seg")
 
     def score(batches):
         for pdf in batches:
-            got = [align(list(a), b.split(" ")) for a, b in zip(pdf["item"], pdf["words"])]
+            pdf = pdf[best_scores(list(pdf["item"]), list(pdf["words"])) >= min_score]
+            got = [align(a.split(), b.split()) for a, b in zip(pdf["item"], pdf["words"])]
             yield pd.DataFrame({
-                "item_id": pdf["item_id"], "doc_id": pdf["doc_id"], "score": [g[0] for g in got], "matched_share": [g[1] / max(1, len(a)) for g, a in zip(got, pdf["item"])], "longest_run": [g[2] for g in got]
+                "item_id": pdf["item_id"], "doc_id": pdf["doc_id"], "score": [g[0] for g in got], "matched_share": [g[1] / max(1, len(a.split())) for g, a in zip(got, pdf["item"])], "longest_run": [g[2] for g in got]
             })
 
     kinds = dict(pairs.dtypes)

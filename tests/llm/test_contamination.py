@@ -1,6 +1,6 @@
 import random
 
-from chronoraster.llm.contamination import align, leaked_items
+from chronoraster.llm.contamination import align, best_scores, leaked_items
 from chronoraster.llm.words import words
 
 DOCS = "doc_id bigint, text string, words string"
@@ -59,6 +59,23 @@ def test_edited_copy_is_aligned(spark):
     assert rows[0].longest_run == 8 and rows[0].matched_share > 0.85
 
 
+def test_an_edited_copy_beside_a_full_copy_is_found(spark):
+    rng = random.Random(5)
+    item = text(rng, 60)
+    edited = [w if k % 10 != 9 else "changed" for k, w in enumerate(item)]  # the full copy holds the runs that the edits broke
+    docs = [(1, " ".join([*text(rng, 100), *item, *text(rng, 100)]), ""), (2, " ".join([*text(rng, 100), *edited, *text(rng, 100)]), ""), (3, " ".join(text(rng, 300)), "")]
+    rows = leaked_items(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(9, " ".join(item), "")], ITEMS)).collect()
+    got = {r.doc_id: r for r in rows}
+    assert set(got) == {1, 2} and got[1].longest_run == 60 and got[2].longest_run == 9
+    assert got[2].matched_share >= 0.9 and got[2].score >= 2 * 54 - 6
+
+
+def test_scores_of_many_pairs_are_those_of_one():
+    rng = random.Random(6)
+    pairs = [([rng.choice("abcdef") for _ in range(rng.choice([0, 1, 7, 30]))], [rng.choice("abcdefg") for _ in range(rng.choice([1, 9, 50]))]) for _ in range(60)]
+    assert list(best_scores([" ".join(a) for a, _ in pairs], [" ".join(b) for _, b in pairs], cells=200)) == [align(a, b)[0] for a, b in pairs]
+
+
 def test_empty_tables(spark):
     d, i = spark.createDataFrame([(1, "a b c", "")], DOCS), spark.createDataFrame([(1, "a b c", "")], ITEMS)
     assert leaked_items(d.limit(0), i).count() == leaked_items(d, i.limit(0)).count() == leaked_items(d, i).count() == 0
