@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,13 +26,16 @@ class FillSpec:
     """What to fill and from where; the defaults are those of reading tables.
 
     ``numeric`` are (field, low, high): values outside the limits are not donors, but they are not
-    missing either and stay. ``categorical`` likewise. ``determinants`` are tried in order, then
-    ``groups`` in order, then the whole table.
+    missing either and stay. ``categorical`` likewise. ``determinants`` are the candidates to mine;
+    None takes them from the table's columns (``candidates``). The verified ones come first, by
+    confidence and support, then ``groups`` in order, then the whole table.
     """
 
     numeric: Sequence[tuple[str, float, float]] = (("ndvi", -1.0, 1.0), ("ndvi_undist", -1.0, 1.0))
     categorical: Sequence[tuple[str, float, float]] = (("scl", 0, 11),)
-    determinants: Sequence[tuple[str, ...]] = (("id", "_hour"), ("cube_name", "_hour"), ("id",), ("cube_name",))
+    determinants: Sequence[tuple[str, ...]] | None = None
+    row_key: str = "rec_id"  # names one row, so it determines nothing
+    occasions: Sequence[str] = ("_hour",)  # derived columns that are candidates beside the table's own
     numeric_groups: Sequence[tuple[str, ...]] = (("id", "_span"), ("cube_name", "_hour"), ("id",), ("cube_name",))
     categorical_groups: Sequence[tuple[str, ...]] = (("cube_name", "_hour"), ("id",), ("cube_name",))
     derived: dict[str, Column] = field(
@@ -48,9 +52,23 @@ class FillSpec:
         return [*self.numeric, *self.categorical]
 
 
+def candidates(df: DataFrame, spec: FillSpec) -> list[tuple[str, ...]]:
+    """Determinants to mine: every column of ``df`` that can be one, alone and in pairs.
+
+    These are the columns of discrete types (text, integers, decimals, dates, booleans) that are
+    neither to be filled nor the row's key, and ``occasions``. Times enter by the latter.
+    """
+    if spec.determinants is not None:
+        return [tuple(d) for d in spec.determinants]
+    discrete = ("string", "tinyint", "smallint", "int", "bigint", "date", "boolean")
+    names = {f for f, *_ in spec.fields}
+    cols = [c for c, kind in df.dtypes if c not in names and c != spec.row_key and (kind in discrete or kind.startswith("decimal"))] + list(spec.occasions)
+    return [*[(c,) for c in cols], *combinations(cols, 2)]
+
+
 def _donors(df: DataFrame, spec: FillSpec) -> DataFrame:
     """Key columns and the usable values, under names that clash with nothing."""
-    keys = {k for g in (*spec.determinants, *spec.numeric_groups, *spec.categorical_groups) for k in g}
+    keys = {k for g in (*candidates(df, spec), *spec.numeric_groups, *spec.categorical_groups) for k in g}
     return df.select(
         *[spec.derived[k].alias(k) if k in spec.derived else F.col(k) for k in sorted(keys)],
         *[usable(f, lo, hi).alias(f"_v_{f}") for f, lo, hi in spec.fields],
@@ -73,17 +91,27 @@ def _agreement(donors: DataFrame, det: Sequence[str], names: list[str]) -> DataF
 
 
 def _mined(df: DataFrame, spec: FillSpec) -> tuple[list[dict], dict[tuple[str, ...], DataFrame]]:
-    """Statistics of every dependency, and the kept tables of groups behind them."""
+    """Statistics of every dependency, and the kept tables of groups behind the verified ones.
+
+    A pair has no more support than either of its columns, so pairs of a column without enough
+    support are not counted.
+    """
     names = [f for f, *_ in spec.fields]
     donors = _donors(df, spec)
-    out, tables = [], {}
-    for det in map(tuple, spec.determinants):
-        tables[det] = keep(_agreement(donors, det, names), "agreement")
-        row = tables[det].filter("_n > 1").agg(F.sum("_n").alias("n"), *[F.sum(F.when(F.col(f"_same_{f}"), F.col("_n"))).alias(f) for f in names]).first()
+    out, tables, support = [], {}, {}
+    for det in candidates(df, spec):
+        if len(det) > 1 and any(support.get((c,), spec.min_support) < spec.min_support for c in det):
+            continue
+        table = keep(_agreement(donors, det, names), "agreement")
+        row = table.filter("_n > 1").agg(F.sum("_n").alias("n"), *[F.sum(F.when(F.col(f"_same_{f}"), F.col("_n"))).alias(f) for f in names]).first()
+        n = support[det] = row["n"] or 0
         for f in names:
-            n = row["n"] or 0
             conf = (row[f] or 0) / n if n else 0.0
             out.append({"determinant": det, "field": f, "support": n, "confidence": conf, "verified": n >= spec.min_support and conf >= spec.min_confidence})
+        if any(d["verified"] for d in out[-len(names) :]):
+            tables[det] = table
+        else:
+            drop_kept(table)
     return out, tables
 
 
@@ -127,11 +155,10 @@ def fill_missing(df: DataFrame, spec: FillSpec | None = None, dependencies: list
         wanted.setdefault(tuple(g), []).append((f, kind, name))
         chain[f].append((f"{tag}:{'+'.join(k.strip('_') for k in g)}", F.col(name)))
 
-    # all dependencies come before all groups, each in the order of the spec
-    for det in spec.determinants:
-        for d in deps:
-            if d["verified"] and tuple(d["determinant"]) == tuple(det):
-                want(det, d["field"], "fd", "fd")
+    # all dependencies come before all groups: the surest first, then the one known by most
+    for d in sorted(deps, key=lambda d: (-d["confidence"], -d["support"], tuple(d["determinant"]))):
+        if d["verified"]:
+            want(d["determinant"], d["field"], "fd", "fd")
     for groups, fields, kind in ((spec.numeric_groups, spec.numeric, "mean"), (spec.categorical_groups, spec.categorical, "mode")):
         for g in groups:
             for f, *_ in fields:
@@ -145,7 +172,6 @@ def fill_missing(df: DataFrame, spec: FillSpec | None = None, dependencies: list
         aggs = [(F.avg(f"_v_{f}") if kind == "mean" else F.mode(f"_v_{f}", True)).alias(name) for f, kind, name in items if kind != "fd"]
         if aggs:
             todo = todo.join(keyed.groupBy(*g).agg(*aggs), list(g), "left")
-    drop_kept(*[t for g, t in mined.items() if not any(d["verified"] and tuple(d["determinant"]) == g for d in deps)])
     overall = donors.agg(*[(F.avg(f"_v_{f}") if i < len(spec.numeric) else F.mode(f"_v_{f}", True)).alias(f"_all_{f}") for i, f in enumerate(names)]).first()
     for f in names:
         chain[f].append(("group:all", F.lit(overall[f"_all_{f}"] if overall else None)))

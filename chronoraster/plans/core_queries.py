@@ -21,7 +21,7 @@ def p2_filled(spark, d):
 
 
 def p2_found(spark, d):
-    series = _t(spark, d, "ndvi_series").select("rec_id", "id", "cube_name", "obs_time", "ndvi", "ndvi_undist", "scl")
+    series = _t(spark, d, "ndvi_series").select("rec_id", "id", "cube_name", "scene_id", "obs_time", "ndvi", "ndvi_undist", "scl")
     return filled_cells(fill_missing(series), "rec_id", ["ndvi", "ndvi_undist", "scl"]).select("field", "rec_id").distinct()
 
 

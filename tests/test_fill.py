@@ -35,6 +35,18 @@ def test_dependency_gives_the_very_value_and_groups_fill_the_rest(spark, at):
     assert got[2].ndvi_source == "observed" and got[2].extra == "x"
 
 
+def test_a_dependency_on_a_column_of_the_table_is_mined_and_used(spark, at):
+    schema = SCHEMA.replace("extra string", "scene_id string")
+    # every scene is delivered again after five hours, so the hour does not lead to the other delivery
+    data = [(2 * (12 * i + n) + c, i, "c", at(n * 5 * DAY + c * 5 * 3600), v := round(0.3 + 0.01 * n + 0.05 * i, 4), v + 0.1, 4, f"s{n}") for i in range(1, 6) for n in range(12) for c in range(2)]
+    data[0] = (*data[0][:4], None, *data[0][5:])
+    df = spark.createDataFrame(data, schema)
+    deps = {d["determinant"]: d for d in mine_dependencies(df) if d["field"] == "ndvi"}
+    assert {k for k, d in deps.items() if d["verified"]} == {("id", "scene_id")} and ("scene_id",) in deps
+    got = {r.rec_id: r for r in fill_missing(df).collect()}
+    assert (got[data[0][0]].ndvi, got[data[0][0]].ndvi_source) == (data[1][4], "fd:id+scene_id")
+
+
 def test_values_beyond_the_limits_stay_and_are_no_donors(spark, at):
     df = spark.createDataFrame([(1, 1, "c", at(0), 7.5, 0.2, 4, None), (2, 1, "c", at(0), None, 0.2, 4, None)], SCHEMA)
     got = {r.rec_id: r for r in fill_missing(df).collect()}
