@@ -7,6 +7,8 @@ holds them. Floating sums are rounded, since engines add in different orders.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -234,23 +236,32 @@ def ring_ndvi(spark, d):
     return z.select("ann_id", "date", r("ndvi").alias("ndvi"), r("ndvi_undist").alias("ndvi_undist"))
 
 
-def _vegetation_near(spark, d, own):
+def _rungs(spark, d) -> int:
+    """Rungs of the ladder 100 x 1.5^k up to the largest raster's diagonal, eight at least."""
+    side = lambda n, a: F.col(n) * F.abs(F.col(f"geotransform.{a}"))
+    reach = catalogue(spark, d).agg(F.max(F.hypot(side("width", "a"), side("height", "e")))).first()[0] or 0.0
+    return max(8, 1 + math.ceil(math.log(max(reach, 100.0) / 100.0, 1.5)))
+
+
+def _vegetation_near(spark, d, own, rungs):
     """Vegetation around the annotations on the days on which they have pixels of their own."""
     dated = annotations(spark, d).join(own.select(F.col("ann_id").alias("id"), "date").distinct(), "id")
-    return zonal.pixels_around(pixels(spark, d).filter("scl = 4"), dated, ["cube_name", "date"], -1.0, 100 * 1.5**7)
+    outer = 100 * 1.5 ** (rungs - 1)
+    return zonal.pixels_around(pixels(spark, d).filter("scl = 4"), dated, ["cube_name", "date"], -1.0, outer, cell=2 * outer)
 
 
 def buffer_ladder_ndvi(spark, d):
     own = zonal.gated_ndvi(_inside(spark, d), ["ann_id", "date"])
-    near = _vegetation_near(spark, d, own)
-    z = zonal.growing_buffer_ndvi(near, own, ["ann_id", "date"], factor=1)
+    rungs = _rungs(spark, d)
+    z = zonal.growing_buffer_ndvi(_vegetation_near(spark, d, own, rungs), own, ["ann_id", "date"], rungs=rungs)
     return z.select("ann_id", "date", "radius", r("mean").alias("mean"), r("median").alias("median"))
 
 
 def dating_map(spark, d):
     own = zonal.gated_ndvi(_inside(spark, d), ["ann_id", "date"])
-    near = _vegetation_near(spark, d, own)
-    z = zonal.dating_stats(own, zonal.growing_buffer_ndvi(near, own, ["ann_id", "date"], factor=1), ["ann_id", "date"])
+    rungs = _rungs(spark, d)
+    around = zonal.growing_buffer_ndvi(_vegetation_near(spark, d, own, rungs), own, ["ann_id", "date"], rungs=rungs)
+    z = zonal.dating_stats(own, around, ["ann_id", "date"])
     return z.select("ann_id", "date", *[r(c).alias(c) for c in ("ann_mean", "ann_median", "buf_mean", "buf_median")])
 
 
