@@ -271,8 +271,9 @@ def spectral_signature(spark, d):
 
 
 def signature_pivot(spark, d):
-    long = zonal.signature(_inside(spark, d), ["ann_id", "date"], ["b04"]).filter("date between '2019-06-01' and '2019-06-30'").withColumn("date", F.date_format("date", "yyyyMMdd"))
-    return raster.pivot_signature(long.withColumn("mean", r("mean")), "b04", [f"201906{k:02d}" for k in range(1, 31)])
+    long = zonal.signature(_inside(spark, d), ["ann_id", "date"], ["b04"]).withColumn("date", F.date_format("date", "yyyyMMdd"))
+    dates = [x.d for x in pixels(spark, d).select(F.date_format("date", "yyyyMMdd").alias("d")).filter("d is not null").distinct().orderBy("d").collect()]
+    return raster.pivot_signature(long.withColumn("mean", r("mean")), "b04", dates)
 
 
 def signature_json(spark, d):

@@ -23,3 +23,11 @@ def test_the_ladder_asks_for_five_times_the_pixels_up_to_the_rasters_extent(spar
         want[k] = enough[0] if enough and min(here) <= 337.5 else None
     got = {(r.ann_id, r.date): r.radius for r in Q.buffer_ladder_ndvi(spark, SMALL).collect()}
     assert got == want and Q._rungs(spark, SMALL) > 8
+
+
+def test_the_pivot_holds_every_annotation_and_date(spark):
+    long = Q.spectral_signature(spark, SMALL).filter("band = 'b04' and date is not null").select("ann_id", F.date_format("date", "yyyyMMdd").alias("d"), "mean").collect()
+    rows = {r.ann_id: r.asDict() for r in Q.signature_pivot(spark, SMALL).collect()}
+    assert len(long) > 0 and {r.ann_id for r in long} <= set(rows)
+    assert all(rows[r.ann_id][r.d] == r["mean"] for r in long)
+    assert sum(v is not None for r in rows.values() for k, v in r.items() if k != "ann_id") == len(long)
