@@ -309,9 +309,13 @@ def extent_pixels(spark, d):
 
 
 def annotations_reprojected(spark, d):
-    a = annotations(spark, d).filter(crs_code("crs") == "32632")
-    there = G.reproject(F.col("rings"), "32632", "4326")
-    c = a.select("id", there.alias("rings")).select("id", G.bounding_box(F.col("rings")).alias("_b"))
+    a = annotations(spark, d).withColumn("_code", crs_code("crs"))
+    supported = ["4326", *[f"{h}{z:02d}" for h in (326, 327) for z in range(1, 61)]]  # at most 121 branches
+    codes = [x["_code"] for x in a.select("_code").filter(F.col("_code").isin(*supported)).distinct().orderBy("_code").collect()]
+    there = F.lit(None)
+    for code in codes:
+        there = F.when(F.col("_code") == code, G.reproject(F.col("rings"), code, "4326")).otherwise(there)
+    c = a.filter(F.col("_code").isin(*codes)).select("id", there.alias("rings")).select("id", G.bounding_box(F.col("rings")).alias("_b"))
     return c.select("id", r("_b.minx").alias("lon"), r("_b.miny").alias("lat")).filter("lon is not null")
 
 

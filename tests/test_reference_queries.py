@@ -31,3 +31,13 @@ def test_the_pivot_holds_every_annotation_and_date(spark):
     assert len(long) > 0 and {r.ann_id for r in long} <= set(rows)
     assert all(rows[r.ann_id][r.d] == r["mean"] for r in long)
     assert sum(v is not None for r in rows.values() for k, v in r.items() if k != "ann_id") == len(long)
+
+
+def test_annotations_of_every_utm_zone_are_reprojected(spark):
+    a = Q.annotations(spark, SMALL).select("id", Q.crs_code("crs").alias("code"), G.bounding_box(F.col("rings")).alias("b")).filter("b.minx is not null")
+    want = {r.id: r.code for r in a.collect() if r.code in ("32632", "32633")}
+    got = {r.id: r.lon for r in Q.annotations_reprojected(spark, SMALL).collect()}
+    assert set(want.values()) == {"32632", "32633"} and set(got) == set(want)
+    for code in ("32632", "32633"):
+        alone = Q.annotations(spark, SMALL).filter(Q.crs_code("crs") == code).select("id", G.bounding_box(G.reproject(F.col("rings"), code, "4326")).minx.alias("lon"))
+        assert all(abs(got[r.id] - r.lon) < 1e-6 for r in alone.filter("lon is not null").collect())
