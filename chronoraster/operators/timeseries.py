@@ -23,7 +23,7 @@ def despike(df: DataFrame, value: str, key: str = "id", order: str = "obs_time",
     Distance is measured in medians of the distances themselves; where that median is 0, any
     distance is too far. Nulls stay null and are passed over by the medians.
     """
-    parted = split_series(df, key, order, 2 * window, hot_rows)
+    parted = split_series(df, key, order, 2 * window, hot_rows, tie)
     by = [F.col(order), *([F.col(tie)] if tie else [])]
     w = _centred(Window.partitionBy(key, "_part").orderBy(*by), window)
     med = parted.withColumn("_med", F.percentile(value, 0.5).over(w)).withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
@@ -34,7 +34,7 @@ def despike(df: DataFrame, value: str, key: str = "id", order: str = "obs_time",
 
 def smoothed_difference(df: DataFrame, value: str = "ndvi", reference: str = "ndvi_undist", key: str = "id", order: str = "obs_time", tie: str | None = None, window: int = 5, hot_rows: int = 500_000) -> DataFrame:
     """Adds ``cdndvi``: centred rolling mean of the reference less that of the value; nulls passed over."""
-    parted = split_series(df, key, order, window, hot_rows)
+    parted = split_series(df, key, order, window, hot_rows, tie)
     w = _centred(Window.partitionBy(key, "_part").orderBy(F.col(order), *([F.col(tie)] if tie else [])), window)
     return parted.withColumn("cdndvi", F.avg(reference).over(w) - F.avg(value).over(w)).filter("not _halo").drop("_part", "_halo")
 

@@ -76,12 +76,13 @@ def bucketed_rank(df: DataFrame, part: Sequence[str], bucket: Column, order: Seq
     return ranked.join(offsets, [*part, "_rank_bucket"]).withColumn(name, F.col("_rank_before") + F.col("_rank_in")).drop("_rank_bucket", "_rank_before", "_rank_in")
 
 
-def split_series(df: DataFrame, key: str, order: str, halo: int, hot_rows: int = 500_000) -> DataFrame:
+def split_series(df: DataFrame, key: str, order: str, halo: int, hot_rows: int = 500_000, tie: str | None = None) -> DataFrame:
     """Adds ``_part`` and ``_halo`` so that windows of bounded reach need not see a whole hot series.
 
     Series with at least ``hot_rows`` rows are cut at quantiles of ``order`` (rows that tie stay
     together), and each part also gets its neighbours' nearest ``halo`` rows, marked ``_halo``; a
-    window over (key, _part) then sees what it would see over the key. Others are one part.
+    window over (key, _part) then sees what it would see over the key. Others are one part. ``tie``
+    orders rows of equal ``order``, as the window does.
     """
     hot_rows = max(hot_rows, 8 * halo)  # a part holds half of that, so halos come from the next part only
     plain = df.withColumns({"_part": F.lit(0), "_halo": F.lit(False)})
@@ -102,8 +103,9 @@ def split_series(df: DataFrame, key: str, order: str, halo: int, hot_rows: int =
     # parts are numbered without gaps only by chance; neighbours are found by their dense rank
     numbers = cut.select(key, "_part").distinct().withColumn("_dense", F.row_number().over(Window.partitionBy(key).orderBy("_part")) - 1)
     cut = cut.join(numbers, [key, "_part"]).drop("_part").withColumnRenamed("_dense", "_part")
-    fore = F.row_number().over(Window.partitionBy(key, "_part").orderBy(order))
-    back = F.row_number().over(Window.partitionBy(key, "_part").orderBy(F.desc(order)))
+    by = [order, *([tie] if tie else [])]
+    fore = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*by))
+    back = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*[F.desc(c) for c in by]))
     edged = cut.withColumns({"_fore": fore, "_back": back})
     copies = edged.filter((F.col("_fore") <= halo) & (F.col("_part") > 0)).withColumn("_part", F.col("_part") - 1).unionByName(
         edged.filter(F.col("_back") <= halo).withColumn("_part", F.col("_part") + 1)

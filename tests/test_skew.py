@@ -34,3 +34,14 @@ def test_split_series_covers_rows_once_and_adds_neighbours(spark):
     halo = {(r._part, r.t) for r in s.filter("_halo").collect()}
     for p in parts[1:-1]:
         assert {t for q, t in halo if q == p._part} == {*range(p.a - 5, p.a), *range(p.b + 1, p.b + 6)}
+
+
+def test_halo_rows_of_tied_times_are_the_nearest_by_the_tie(spark):
+    # the ties are larger than the halo, and the rows come in an order that is not theirs
+    df = spark.range(2000).select(F.lit(1).alias("k"), F.pmod(F.col("id") * 977, F.lit(2000)).alias("r")).withColumn("t", F.floor(F.col("r") / 40))
+    s = split_series(df, "k", "t", 5, hot_rows=400, tie="r")
+    parts = s.filter("not _halo").groupBy("_part").agg(F.min("r").alias("a"), F.max("r").alias("b")).orderBy("_part").collect()
+    halo = {(x._part, x.r) for x in s.filter("_halo").collect()}
+    assert len(parts) > 3
+    for p in parts[1:-1]:
+        assert {r for q, r in halo if q == p._part} == {*range(p.a - 5, p.a), *range(p.b + 1, p.b + 6)}
