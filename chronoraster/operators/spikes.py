@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.missing import is_missing, usable
+from ..session import keep
 from ..skew import heavy_keys, key_in
 
 
@@ -162,10 +164,11 @@ def _whole_groups(batches, block: int = 100_000):
 def _parts(rows: DataFrame, fields: Sequence[str], spec: ChartSpec) -> tuple[DataFrame, list]:
     """Adds ``part`` and ``halo``. Sources with at least hot_rows rows are cut in time.
 
-    Cuts lie only where a reading starts. Each part also gets, marked ``halo``, the rows of its
-    neighbours up to the warm_up-th usable row of every field, so that windows of five or six
-    readings are complete across a cut. At most 1000 sources can be hot, and they have at most
-    some thousand parts together.
+    Cuts lie only where a reading starts. Each part also gets, marked ``halo``, the warm_up nearest
+    readings of every field to either side, from as many parts as hold them, so that windows of five
+    or six readings are complete across a cut. A reading comes as one row, with the value of its
+    earliest usable row, however many rows it has. At most 1000 sources can be hot, and they have
+    at most some thousand parts together.
     """
     hot = heavy_keys(rows.select("id"), ["id"], spec.hot_rows)
     plain = rows.withColumns({"part": F.lit(0), "halo": F.lit(False)})
@@ -195,16 +198,24 @@ def _parts(rows: DataFrame, fields: Sequence[str], spec: ChartSpec) -> tuple[Dat
     for r in starts.filter("part > 0").groupBy("id", "part").agg(F.min("t").alias("t")).collect():
         moved[r["id"]].append(r["t"])
     split = hot_rows.withColumn("part", part_of({k: sorted(b) for k, b in moved.items()}))
-    fore, back = [], []
-    for f in fields:
-        one = F.when(F.col(f).isNotNull(), 1).otherwise(0)
-        order = [F.col("t"), F.col("row_key")]
-        fore.append(F.sum(one).over(Window.partitionBy("id", "part").orderBy(*order)) - one < spec.warm_up)
-        back.append(F.sum(one).over(Window.partitionBy("id", "part").orderBy(F.desc("t"), F.desc("row_key"))) - one < spec.warm_up)
-    any_of = lambda cs: F.greatest(*[c.cast("int") for c in cs], F.lit(0)) == 1
-    edged = split.withColumns({"_fore": any_of(fore), "_back": any_of(back)})
-    halo = edged.filter("_fore and part > 0").withColumn("part", F.col("part") - 1).unionByName(edged.filter("_back").withColumn("part", F.col("part") + 1))
-    halo = halo.withColumn("halo", F.lit(True)).drop("_fore", "_back")
+    w = Window.partitionBy("id", "part").orderBy("t", "row_key")
+    begins = F.coalesce((F.col("t") - F.lag("t").over(w) >= spec.same_reading_s * 1e6).cast("int"), F.lit(1))
+    numbered = split.withColumn("_begins", begins).withColumn("_reading", F.sum("_begins").over(w))
+    first = lambda f: F.min(F.when(F.col(f).isNotNull(), F.struct("t", "row_key", F.col(f).alias("v"))))["v"].alias(f)
+    readings = keep(numbered.groupBy("id", "part", "_reading").agg(F.min("t").alias("t"), F.min("row_key").alias("row_key"), *[first(f) for f in fields]), "readings")
+    # usable readings of each field before a part and up to its end; one row per part
+    ends = Window.partitionBy("id").orderBy("part")
+    sizes = readings.groupBy("id", "part").agg(*[F.count(f).alias(f"_n_{f}") for f in fields])
+    bounds = sizes.withColumns({f"_to_{f}": F.sum(f"_n_{f}").over(ends) for f in fields})
+    inside = Window.partitionBy("id", "part").orderBy("_reading")
+    at = {f"_at_{f}": F.sum(F.when(F.col(f).isNotNull(), 1).otherwise(0)).over(inside) for f in fields}  # from 1
+    outer = lambda f: F.col(f).isNotNull() & ((F.col(f"_at_{f}") <= spec.warm_up) | (F.col(f"_n_{f}") - F.col(f"_at_{f}") < spec.warm_up))
+    edges = readings.withColumns(at).join(bounds, ["id", "part"]).filter(reduce(lambda a, b: a | b, [outer(f) for f in fields]))
+    edges = edges.select("id", "t", "row_key", F.col("part").alias("_from"), *fields, *[(F.col(f"_to_{f}") - F.col(f"_n_{f}") + F.col(f"_at_{f}")).alias(f"_place_{f}") for f in fields])
+    ahead = lambda f: (F.col("part") > F.col("_from")) & (F.col(f"_to_{f}") - F.col(f"_n_{f}") - F.col(f"_place_{f}") < spec.warm_up)
+    behind = lambda f: (F.col("part") < F.col("_from")) & (F.col(f"_place_{f}") - F.col(f"_to_{f}") <= spec.warm_up)
+    near = edges.join(bounds, "id").select("id", "t", "row_key", "part", *[F.when(ahead(f) | behind(f), F.col(f)).alias(f) for f in fields])
+    halo = near.filter(F.coalesce(*fields).isNotNull()).withColumn("halo", F.lit(True))
     return plain.filter(~key_in("id", hot)).unionByName(split.withColumn("halo", F.lit(False))).unionByName(halo), hot
 
 

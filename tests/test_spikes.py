@@ -69,6 +69,16 @@ def test_a_hot_source_in_parts_gives_the_same(spark, at):
     assert flags(df, ChartSpec(hot_rows=120)) == brute(data)
 
 
+def test_a_hot_source_with_many_rows_a_reading_gives_the_same(spark, at):
+    rng = np.random.default_rng(11)
+    data = []
+    for j in range(60):
+        v = 0.4321 if 20 <= j < 34 else round(float(0.5 + 0.2 * np.sin(j / 4) + rng.normal(0, 0.01)) - (0.4 if j % 7 == 3 else 0), 4)
+        for c in range(100):  # only the earliest row of a reading gives its value
+            data.append((100 * j + c, 1, at(j * DAY + 0.3 * c), v if c == 0 else round(float(rng.uniform(0, 0.9)), 4), None if c < 70 else round(v + 0.05, 4), "p"))
+    assert flags(spark.createDataFrame(data, SCHEMA), ChartSpec(hot_rows=400)) == brute(data)
+
+
 def test_chart_sees_a_spike_and_is_not_carried_away(spark, at):
     v = [0.5 + 0.005 * (k % 2) for k in range(40)]
     v[20] = 0.9
