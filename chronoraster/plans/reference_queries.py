@@ -124,8 +124,7 @@ def monthly_timeseries(spark, d):
 
 def timeseries_pad(spark, d):
     s2 = catalogue(spark, d).filter("satellite = 'sentinel-2' and scene_date is not null")
-    chosen = s2.filter(F.month("scene_date") == 7).select("cube_name", "scene_id", "scene_date")
-    return scenes.pad_scenes(chosen, s2, 12, CUBE).groupBy("cube_name", "scene_id", "padding").agg(F.count(F.lit(1)).alias("copies"))
+    return scenes.pad_scenes(s2.select("cube_name", "scene_id", "scene_date"), s2, 70, CUBE).groupBy("cube_name", "scene_id", "padding").agg(F.count(F.lit(1)).alias("copies"))
 
 
 def event_timeseries(spark, d):
@@ -380,8 +379,7 @@ def patch_balance(spark, d):
 
 
 def patch_arrays(spark, d):
-    g = patch_classify(spark, d).filter("cls = 'Annotation'")
-    a = patches.patch_arrays(g, pixels(spark, d), CUBE, SIZE, ["b04"], "date")
+    a = patches.patch_arrays(patch_classify(spark, d), pixels(spark, d), CUBE, SIZE, ["b02", "b04", "b08", "scl", "mask"], "date")
     return a.select("cube_name", "i", "j", "date", "band", F.size("values").alias("n"), F.aggregate("values", F.lit(0.0), lambda s, v: s + v).alias("total"))
 
 

@@ -41,3 +41,14 @@ def test_annotations_of_every_utm_zone_are_reprojected(spark):
     for code in ("32632", "32633"):
         alone = Q.annotations(spark, SMALL).filter(Q.crs_code("crs") == code).select("id", G.bounding_box(G.reproject(F.col("rings"), code, "4326")).minx.alias("lon"))
         assert all(abs(got[r.id] - r.lon) < 1e-6 for r in alone.filter("lon is not null").collect())
+
+
+def test_arrays_hold_all_bands_and_patches_and_padding_all_months(spark):
+    a = Q.patch_arrays(spark, SMALL).select("cube_name", "i", "j", "band").distinct().collect()
+    bands = {}
+    for r in a:
+        bands.setdefault((r.cube_name, r.i, r.j), set()).add(r.band)
+    cls = {(r.cube_name, r.i, r.j): r.cls for r in Q.patch_classify(spark, SMALL).collect() if (r.cube_name, r.i, r.j) in bands}
+    assert set(cls.values()) == {"Annotation", "No-Annotation"} and all(b == {"b02", "b04", "b08", "scl", "mask"} for b in bands.values())
+    dated = {r.scene_id for r in Q.catalogue(spark, SMALL).filter("satellite = 'sentinel-2' and scene_date is not null").collect()}
+    assert {r.scene_id for r in Q.timeseries_pad(spark, SMALL).filter("not padding").collect()} == dated
