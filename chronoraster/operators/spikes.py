@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import is_missing, usable
 from ..session import keep
-from ..skew import heavy_keys, key_in
+from ..skew import bucketed_rank, exact_median, hot_keys, in_ranges, salted_join
 
 
 @dataclass(frozen=True)
@@ -36,8 +35,13 @@ class ChartSpec:
     weight: float = 0.3  # of the newest reading in the chart
     signal: float = 4.0  # chart limits, in scales
     clip: float = 2.5  # a suspected reading moves the chart at most so many scales
-    warm_up: int = 64  # readings of each field that a part of a hot source sees of its neighbours
-    hot_rows: int = 500_000
+    block: int = 1024  # readings after which a source's chart and run counter start anew, whatever its size
+    warm_up: int = 64  # readings before a block that its chart and counter see first
+    hot_rows: int = 500_000  # a source with more rows is cut into parts of whole blocks; results do not change
+
+    def __post_init__(self) -> None:
+        if not self.block >= self.warm_up >= self.stuck_run:
+            raise ValueError("block, warm-up and stuck run must not increase in this order")
 
 
 OUT = "field string, row_key bigint, stuck boolean, spike boolean, chart_signal boolean, chart_z double, run_length int"
@@ -86,14 +90,59 @@ def _median_by(group: np.ndarray, n: int, v: np.ndarray) -> np.ndarray:
     return out
 
 
-def _judge(pdf: pd.DataFrame, fields: Sequence[str], spec: ChartSpec, steps: dict) -> pd.DataFrame:
-    """Flags of whole sources (or of parts with their neighbours' rows), sorted by source and time."""
-    sid, part = pdf["id"].to_numpy(), pdf["part"].to_numpy()
-    t, mine = pdf["t"].to_numpy(), ~pdf["halo"].to_numpy()
-    n = len(pdf)
-    new = np.r_[True, (sid[1:] != sid[:-1]) | (part[1:] != part[:-1])]
+def _tests(group: np.ndarray, k: np.ndarray, v: np.ndarray, typical: np.ndarray, spec: ChartSpec) -> dict[str, np.ndarray]:
+    """The flags of usable readings, sorted by group (0..n-1) and ``k``, their number in the source.
+
+    ``typical`` holds each group's median step. Blocks are told by ``k``, so a part of a source that
+    begins with a block's warm-up gives what the whole source gives.
+    """
+    m = len(v)
+    same = group[1:] == group[:-1]
+    # centred median of five
+    spike, away = np.zeros(m, bool), np.zeros(m)
+    if m >= 5:
+        mid = np.arange(2, m - 2)
+        inner = group[:-4] == group[4:]
+        med = np.median(np.lib.stride_tricks.sliding_window_view(v, 5), axis=1)
+        away[mid] = np.where(inner, np.abs(v[mid] - med), 0)
+        spike[mid] = inner & (away[mid] > spec.spike_steps * typical[group[mid]] + TINY)
+    # runs of nearly equal values: every window of stuck_run readings within the range
+    stuck, w = np.zeros(m, bool), spec.stuck_run
+    if m >= w:
+        win = np.lib.stride_tricks.sliding_window_view(v, w)
+        flat = (group[: m - w + 1] == group[w - 1 :]) & (win.max(1) - win.min(1) <= spec.stuck_range + TINY)
+        edge = np.zeros(m + 1, int)
+        at = np.flatnonzero(flat)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + w, -1)
+        stuck = np.cumsum(edge[:-1]) > 0
+    # blocks with their warm-up
+    block = k // spec.block
+    opens = np.flatnonzero(np.r_[True, ~same | (block[1:] != block[:-1])]) if m else np.zeros(0, int)
+    first_of = np.searchsorted(group, group[opens])  # the source's first reading
+    since = np.maximum(first_of, opens - spec.warm_up)
+    ends = np.r_[opens[1:], m][: len(opens)]
+    # run-length counter: consecutive readings within the range of the one before
+    close = np.r_[False, same & (np.abs(np.diff(v)) <= spec.stuck_range + TINY)][:m]
+    begin = np.maximum.accumulate(np.where(close, 0, np.arange(m)))
+    run = np.arange(m) - np.maximum(begin, np.repeat(since, ends - opens)) + 1
+    # a chart per block, warm-up first
+    length = ends - since
+    which = np.repeat(np.arange(len(opens)), length)
+    source = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(since, length)
+    floor = np.maximum(np.nan_to_num(typical[group[opens]], nan=0.01), 0.002)
+    charted = _chart(which, v[source], spec, floor)
+    z = np.zeros(m)
+    own = source >= np.repeat(opens, length)
+    z[source[own]] = charted[own]
+    return {"stuck": stuck, "spike": spike, "chart_signal": np.abs(z) > spec.signal, "chart_z": z, "run_length": run.astype("int32")}
+
+
+def _judge(pdf: pd.DataFrame, fields: Sequence[str], spec: ChartSpec) -> pd.DataFrame:
+    """Flags of whole sources, rows sorted by source, time and key."""
+    sid, t = pdf["id"].to_numpy(), pdf["t"].to_numpy()
+    new = np.r_[True, sid[1:] != sid[:-1]]
     group = np.cumsum(new) - 1
-    names = sid[new]
     session = np.cumsum(new | np.r_[True, (t[1:] - t[:-1]) >= spec.same_reading_s * 1e6]) - 1
     out = []
     for f in fields:
@@ -105,46 +154,16 @@ def _judge(pdf: pd.DataFrame, fields: Sequence[str], spec: ChartSpec, steps: dic
         lead = np.r_[True, s[1:] != s[:-1]]
         reading = np.cumsum(lead) - 1  # of each row
         val, g = v[rows[lead]], group[rows[lead]]
-        m = len(val)
         same = g[1:] == g[:-1]
-        typical = _median_by(g[1:][same], len(names), np.abs(np.diff(val))[same])
-        for k, name in enumerate(names):
-            if (name, f) in steps:
-                typical[k] = steps[name, f]
-        # centred median of five
-        spike, away = np.zeros(m, bool), np.zeros(m)
-        if m >= 5:
-            mid = np.arange(2, m - 2)
-            inner = g[:-4] == g[4:]
-            med = np.median(np.lib.stride_tricks.sliding_window_view(val, 5), axis=1)
-            away[mid] = np.where(inner, np.abs(val[mid] - med), 0)
-            spike[mid] = inner & (away[mid] > spec.spike_steps * typical[g[mid]] + TINY)
-        # runs of nearly equal values: every window of stuck_run readings within the range
-        stuck, w = np.zeros(m, bool), spec.stuck_run
-        if m >= w:
-            win = np.lib.stride_tricks.sliding_window_view(val, w)
-            flat = (g[: m - w + 1] == g[w - 1 :]) & (win.max(1) - win.min(1) <= spec.stuck_range + TINY)
-            edge = np.zeros(m + 1, int)
-            at = np.flatnonzero(flat)
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + w, -1)
-            stuck = np.cumsum(edge[:-1]) > 0
-        # run-length counter: consecutive readings within the range of the one before
-        close = np.r_[False, same & (np.abs(np.diff(val)) <= spec.stuck_range + TINY)]
-        begin = np.maximum.accumulate(np.where(close, 0, np.arange(m)))
-        run = np.arange(m) - begin + 1
-        live, first = np.unique(g, return_inverse=True)
-        floor = np.maximum(np.nan_to_num(typical[live], nan=0.01), 0.002)
-        z = _chart(first, val, spec, floor)
-        signal = np.abs(z) > spec.signal
-        hit = (stuck | spike | signal)[reading] & mine[rows]
-        r = reading[hit]
-        out.append(pd.DataFrame({"field": f, "row_key": pdf["row_key"].to_numpy()[rows[hit]], "stuck": stuck[r], "spike": spike[r], "chart_signal": signal[r], "chart_z": z[r], "run_length": run[r].astype("int32")}))
+        typical = _median_by(g[1:][same], int(group[-1]) + 1, np.abs(np.diff(val))[same])
+        got = _tests(g, np.arange(len(g)) - np.searchsorted(g, g), val, typical, spec)
+        hit = (got["stuck"] | got["spike"] | got["chart_signal"])[reading]
+        out.append(pd.DataFrame({"field": f, "row_key": pdf["row_key"].to_numpy()[rows[hit]], **{c: x[reading[hit]] for c, x in got.items()}}))
     return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in OUT.split(", ")})
 
 
-def _whole_groups(batches, block: int = 100_000):
-    """Frames that end with a source's (part's) last row; the rest waits for the next batch."""
+def _whole_groups(batches, by: Sequence[str], block: int = 100_000):
+    """Frames that end with a group's last row; the rest waits for the next batch."""
     held: list[pd.DataFrame] = []
     size = 0
     for pdf in batches:
@@ -152,8 +171,10 @@ def _whole_groups(batches, block: int = 100_000):
         size += len(pdf)
         if size >= block:
             whole = pd.concat(held, ignore_index=True)
-            last = (whole["id"] == whole["id"].iloc[-1]) & (whole["part"] == whole["part"].iloc[-1])
-            cut = int(np.argmax(last.to_numpy()))
+            last = np.ones(len(whole), bool)
+            for c in by:
+                last &= (whole[c] == whole[c].iloc[-1]).to_numpy()
+            cut = int(np.argmax(last))
             held, size = [whole.iloc[cut:]], len(whole) - cut
             if cut:
                 yield whole.iloc[:cut].reset_index(drop=True)
@@ -161,87 +182,49 @@ def _whole_groups(batches, block: int = 100_000):
         yield pd.concat(held, ignore_index=True)
 
 
-def _parts(rows: DataFrame, fields: Sequence[str], spec: ChartSpec) -> tuple[DataFrame, list]:
-    """Adds ``part`` and ``halo``. Sources with at least hot_rows rows are cut in time.
+def _hot_flags(rows: DataFrame, n: int, fields: Sequence[str], spec: ChartSpec) -> DataFrame:
+    """Flags of sources too large for a task, the same as ``_judge`` gives.
 
-    Cuts lie only where a reading starts. Each part also gets, marked ``halo``, the warm_up nearest
-    readings of every field to either side, from as many parts as hold them, so that windows of five
-    or six readings are complete across a cut. A reading comes as one row, with the value of its
-    earliest usable row, however many rows it has. At most 1000 sources can be hot, and they have
-    at most some thousand parts together.
+    Readings are numbered without gathering a source: rows lie in ranges of (source, time), and one
+    row per range carries on what came before. Parts of whole blocks follow from the numbers, each
+    with the readings of the warm-up before it and of a stuck run after it.
     """
-    hot = heavy_keys(rows.select("id"), ["id"], spec.hot_rows)
-    plain = rows.withColumns({"part": F.lit(0), "halo": F.lit(False)})
-    if not hot:
-        return plain, []
-    size = max(spec.hot_rows // 2, rows.count() // 4096)
-    hot_rows = rows.filter(key_in("id", hot))
-    counts = {r["id"]: r["count"] for r in hot_rows.groupBy("id").count().collect()}
-    cuts: dict = {}
-    for (k,) in hot:
-        n = max(2, -(-counts[k] // size))
-        near = hot_rows.filter(F.col("id") == F.lit(k)).agg(F.percentile_approx("t", [i / n for i in range(1, n)], 10_000)).first()[0]
-        cuts[k] = sorted(set(near))
-
-    def part_of(bounds: dict):
-        out = F.lit(0)
-        for k, b in bounds.items():
-            if b:
-                out = F.when(F.col("id") == F.lit(k), F.size(F.filter(F.array(*[F.lit(x) for x in b]), lambda e: e <= F.col("t")))).otherwise(out)
-        return out
-
-    # move each cut to the next row that starts a reading
-    rough = hot_rows.select("id", "t").distinct().withColumn("part", part_of(cuts))
-    w = Window.partitionBy("id", "part").orderBy("t")
-    starts = rough.withColumn("gap", F.col("t") - F.lag("t").over(w)).filter(F.col("gap") >= spec.same_reading_s * 1e6)
-    moved: dict = {k: [] for k in cuts}
-    for r in starts.filter("part > 0").groupBy("id", "part").agg(F.min("t").alias("t")).collect():
-        moved[r["id"]].append(r["t"])
-    split = hot_rows.withColumn("part", part_of({k: sorted(b) for k, b in moved.items()}))
-    w = Window.partitionBy("id", "part").orderBy("t", "row_key")
-    begins = F.coalesce((F.col("t") - F.lag("t").over(w) >= spec.same_reading_s * 1e6).cast("int"), F.lit(1))
-    numbered = split.withColumn("_begins", begins).withColumn("_reading", F.sum("_begins").over(w))
-    first = lambda f: F.min(F.when(F.col(f).isNotNull(), F.struct("t", "row_key", F.col(f).alias("v"))))["v"].alias(f)
-    readings = keep(numbered.groupBy("id", "part", "_reading").agg(F.min("t").alias("t"), F.min("row_key").alias("row_key"), *[first(f) for f in fields]), "readings")
-    # usable readings of each field before a part and up to its end; one row per part
-    ends = Window.partitionBy("id").orderBy("part")
-    sizes = readings.groupBy("id", "part").agg(*[F.count(f).alias(f"_n_{f}") for f in fields])
-    bounds = sizes.withColumns({f"_to_{f}": F.sum(f"_n_{f}").over(ends) for f in fields})
-    inside = Window.partitionBy("id", "part").orderBy("_reading")
-    at = {f"_at_{f}": F.sum(F.when(F.col(f).isNotNull(), 1).otherwise(0)).over(inside) for f in fields}  # from 1
-    outer = lambda f: F.col(f).isNotNull() & ((F.col(f"_at_{f}") <= spec.warm_up) | (F.col(f"_n_{f}") - F.col(f"_at_{f}") < spec.warm_up))
-    edges = readings.withColumns(at).join(bounds, ["id", "part"]).filter(reduce(lambda a, b: a | b, [outer(f) for f in fields]))
-    edges = edges.select("id", "t", "row_key", F.col("part").alias("_from"), *fields, *[(F.col(f"_to_{f}") - F.col(f"_n_{f}") + F.col(f"_at_{f}")).alias(f"_place_{f}") for f in fields])
-    ahead = lambda f: (F.col("part") > F.col("_from")) & (F.col(f"_to_{f}") - F.col(f"_n_{f}") - F.col(f"_place_{f}") < spec.warm_up)
-    behind = lambda f: (F.col("part") < F.col("_from")) & (F.col(f"_place_{f}") - F.col(f"_to_{f}") <= spec.warm_up)
-    near = edges.join(bounds, "id").select("id", "t", "row_key", "part", *[F.when(ahead(f) | behind(f), F.col(f)).alias(f) for f in fields])
-    halo = near.filter(F.coalesce(*fields).isNotNull()).withColumn("halo", F.lit(True))
-    return plain.filter(~key_in("id", hot)).unionByName(split.withColumn("halo", F.lit(False))).unionByName(halo), hot
-
-
-def _typical_steps(parted: DataFrame, hot: list, fields: Sequence[str], spec: ChartSpec) -> dict:
-    """Median absolute step of each hot source over all its parts; one number per source and field."""
-    if not hot:
-        return {}
-
-    def steps(batches):
-        for pdf in _whole_groups(batches):
-            sid, t = pdf["id"].to_numpy(), pdf["t"].to_numpy()
-            new = np.r_[True, (sid[1:] != sid[:-1]) | (np.diff(pdf["part"].to_numpy()) != 0)]
-            session = np.cumsum(new | np.r_[True, (t[1:] - t[:-1]) >= spec.same_reading_s * 1e6])
-            for f in fields:
-                v = pdf[f].to_numpy(dtype=float)
-                rows = np.flatnonzero(~np.isnan(v))
-                lead = rows[np.r_[True, np.diff(session[rows]) != 0]] if len(rows) else rows
-                # a step belongs to the part in which it ends
-                inner = (sid[lead][1:] == sid[lead][:-1]) & (pdf["part"].to_numpy()[lead][1:] == pdf["part"].to_numpy()[lead][:-1]) & ~pdf["halo"].to_numpy()[lead][1:]
-                yield pd.DataFrame({"id": sid[lead][1:][inner], "field": f, "step": np.abs(np.diff(v[lead]))[inner]})
-
-    kind = dict(parted.dtypes)["id"]
-    own = parted.filter(key_in("id", hot))
-    each = own.repartition("id", "part").sortWithinPartitions("id", "part", "t", "row_key").mapInPandas(steps, f"id {kind}, field string, step double")
-    each = each.select("id", "field", F.round("step", 9).alias("step"))
-    return {(r["id"], r["field"]): r["m"] for r in each.groupBy("id", "field").agg(F.percentile("step", 0.5).alias("m")).collect()}
+    kind = dict(rows.dtypes)["id"]
+    gap = spec.same_reading_s * 1e6
+    size = max(1, spec.hot_rows // 2)
+    placed = in_ranges(rows, ["id", "t", "row_key"], size, n)
+    earlier = Window.partitionBy("id").orderBy("_place")
+    ends = placed.groupBy("id", "_place").agg(F.max("t").alias("_last")).select("id", "_place", F.lag("_last").over(earlier).alias("_before"))
+    inside = Window.partitionBy("id", "_place").orderBy("t", "row_key")
+    begins = F.coalesce((F.col("t") - F.coalesce(F.lag("t").over(inside), "_before") >= gap).cast("int"), F.lit(1))
+    local = keep(placed.join(ends, ["id", "_place"]).withColumn("_new", begins).withColumn("_session", F.sum("_new").over(inside)).drop("_before", "_new"), "sessions")
+    before = local.groupBy("id", "_place").agg(F.max("_session").alias("_s")).select("id", "_place", F.coalesce(F.sum("_s").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("v")) for f in fields]))
+    cells = local.join(before, ["id", "_place"]).select("id", "_place", "t", "row_key", (F.col("_session") + F.col("_offset")).alias("_session"), cells.alias("_c")).filter("_c.v is not null").select("id", "_place", "t", "row_key", "_session", "_c.*")
+    # the earliest usable row of a reading gives its value
+    readings = cells.groupBy("id", "field", "_session").agg(F.min_by("v", F.struct("t", "row_key")).alias("v"), F.min("_place").alias("_place"))
+    readings = keep(bucketed_rank(readings, ["id", "field"], F.col("_place"), [F.col("_session")], "k").select("id", "field", "_session", "v", (F.col("k") - 1).alias("k")), "readings")
+    prior = readings.select("id", "field", (F.col("k") + 1).alias("k"), F.col("v").alias("_v"))
+    typical = exact_median(readings.join(prior, ["id", "field", "k"]).select("id", "field", F.abs(F.col("v") - F.col("_v")).alias("step")), ["id", "field"], "step")
+    length = -(-size // spec.block) * spec.block
+    own = F.floor(F.col("k") / length)
+    place = lambda p, h: F.struct(p.alias("part"), F.lit(h).alias("halo"))
+    ahead = F.when((own + 1) * length - F.col("k") <= spec.warm_up, place(own + 1, True))
+    behind = F.when((own > 0) & (F.col("k") - own * length < spec.stuck_run), place(own - 1, True))
+    parts = readings.withColumn("_p", F.explode(F.filter(F.array(place(own, False), ahead, behind), lambda s: s.isNotNull()))).select("id", "field", "_session", "v", "k", "_p.*")
+    parts = parts.join(typical, ["id", "field"], "left")
+
+    def judge(batches):
+        for pdf in _whole_groups(batches, ("id", "field", "part")):
+            key = pdf[["id", "field", "part"]]
+            new = np.r_[True, (key.iloc[1:].to_numpy() != key.iloc[:-1].to_numpy()).any(1)]
+            got = _tests(np.cumsum(new) - 1, pdf["k"].to_numpy(np.int64), pdf["v"].to_numpy(float), pdf["median"].to_numpy(float)[new], spec)
+            hit = (got["stuck"] | got["spike"] | got["chart_signal"]) & ~pdf["halo"].to_numpy()
+            yield pd.DataFrame({"id": pdf["id"][hit], "field": pdf["field"][hit], "_session": pdf["_session"][hit], **{c: x[hit] for c, x in got.items()}})
+
+    ordered = parts.repartition("id", "field", "part").sortWithinPartitions("id", "field", "part", "k")
+    flagged = ordered.mapInPandas(judge, f"id {kind}, field string, _session bigint, stuck boolean, spike boolean, chart_signal boolean, chart_z double, run_length int")
+    return salted_join(cells.select("id", "field", "_session", "row_key"), flagged, ["id", "field", "_session"], F.col("row_key"), spec.hot_rows).select(*[c.split()[0] for c in OUT.split(", ")])
 
 
 def spike_flags(df: DataFrame, fields: Sequence[str] = ("ndvi", "ndvi_undist"), source: str = "id", time: str = "obs_time", key: str = "rec_id", spec: ChartSpec | None = None) -> DataFrame:
@@ -252,6 +235,8 @@ def spike_flags(df: DataFrame, fields: Sequence[str] = ("ndvi", "ndvi_undist"),
     that are missing are never flagged. Impossible cells take no part in the series. Rows without
     source or time are tested against the limits only. Ties in time are ordered by the key.
     Repeated rows give one flag. An empty table gives no rows; other columns are passed over.
+    Chart and run counter start anew every ``block`` readings after a warm-up, so a source gives the
+    same flags and numbers whether it is small or cut into parts.
     """
     spec = spec or ChartSpec()
     return limit_flags(df, fields, key, spec.low, spec.high).unionByName(_series_flags(df, fields, source, time, key, spec)).distinct()
@@ -271,13 +256,15 @@ def _series_flags(df: DataFrame, fields: Sequence[str], source: str, time: str,
     rows = df.select(
         F.col(source).alias("id"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(key).cast("bigint").alias("row_key"), *[usable(f, spec.low, spec.high).cast("double").alias(f) for f in fields]
     ).filter("id is not null and t is not null")
-    parted, hot = _parts(rows, fields, spec)
-    steps = _typical_steps(parted, hot, fields, spec)
+    hot = hot_keys(rows, F.xxhash64("id"), spec.hot_rows)
+    cold = rows if hot is None else rows.withColumn("_key", F.xxhash64("id")).join(hot.select("_key"), "_key", "left_anti").drop("_key")
 
     def judge(batches):
-        for pdf in _whole_groups(batches):
-            yield _judge(pdf, fields, spec, steps)
+        for pdf in _whole_groups(batches, ("id",)):
+            yield _judge(pdf, fields, spec)
 
-    ordered = parted.repartition("id", "part").sortWithinPartitions("id", "part", "t", "row_key")
-    flags = ordered.mapInPandas(judge, OUT)
+    flags = cold.repartition("id").sortWithinPartitions("id", "t", "row_key").mapInPandas(judge, OUT)
+    if hot is not None:
+        large = rows.withColumn("_key", F.xxhash64("id")).join(hot.select("_key"), "_key", "left_semi").drop("_key")
+        flags = flags.unionByName(_hot_flags(large, hot.agg(F.sum("_n")).first()[0], fields, spec))
     return flags.select("field", "row_key", F.lit(False).alias("impossible"), "stuck", "spike", "chart_signal", "chart_z", "run_length")

@@ -1,6 +1,7 @@
 """The two whole pipelines: pixels to dated changes, and scenes to training patches.
 
-Each is one lazy plan of the operators; nothing is collected between the steps.
+``change_dates`` keeps its gated index pairs, one row per annotation and date, as a table, so the
+spatial joins run once however often the series steps read them; ``training_patches`` is one plan.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import patches, timeseries, zonal
+from ..session import keep
 
 
 def change_dates(pixels: DataFrame, annotations: DataFrame, group: list[str], inner: float = 10.0, outer: float = 200.0, look_back: int = 6, multiplier: float = 1.0) -> DataFrame:
@@ -20,9 +22,10 @@ def change_dates(pixels: DataFrame, annotations: DataFrame, group: list[str], in
     """
     inside = zonal.pixels_in(pixels, annotations, group, all_touched=True)
     ring = zonal.pixels_around(pixels, annotations, group, inner, outer)
-    pair = zonal.gated_pair(inside, ring, ["ann_id", "date"]).filter("ndvi is not null")
-    clean = timeseries.despike(pair, "ndvi", "ann_id", "date")
-    smooth = timeseries.smoothed_difference(clean, "ndvi_despiked", "ndvi_undist", "ann_id", "date")
+    pair = keep(zonal.gated_pair(inside, ring, ["ann_id", "date"]).filter("ndvi is not null"), "pairs")
+    # a series has at most a row per day, so none is hot
+    clean = timeseries.despike(pair, "ndvi", "ann_id", "date", hot_rows=None)
+    smooth = timeseries.smoothed_difference(clean, "ndvi_despiked", "ndvi_undist", "ann_id", "date", hot_rows=None)
     dates = timeseries.slope_changes(smooth, "cdndvi", "ann_id", "date", look_back, 3, multiplier)
     return timeseries.best_date(dates.withColumns({"confidence": F.lit(1.0), "ord": F.datediff("date", F.lit("1970-01-01").cast("date"))}))
 

@@ -1,12 +1,20 @@
-"""Hot keys: finding them, salting joins around them, ranking without one-task groups."""
+"""Hot keys: finding them, salting joins around them, ranking and splitting without one-task groups.
+
+A key is hot when its rows exceed a budget, the number of rows one task should take. Budgets are
+absolute: they do not depend on the size of the table, and a key gets as many tasks as it needs.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .session import keep
+
 
 def tasks(df: DataFrame) -> int:
     """Partitions for stages whose work is far larger than their bytes, which AQE would merge."""
@@ -14,50 +22,54 @@ def tasks(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-#: At most so many keys can each hold more than 1/MAX_HOT of the rows, which bounds what heavy_keys collects.
-MAX_HOT = 1000
+#: Up to so many hot keys (16 bytes each) are broadcast; more stay a table that joins like any other.
+LISTED = 20_000
 
 
-def heavy_keys(df: DataFrame, cols: Sequence[str], min_rows: int, weight: str | None = None) -> list[tuple]:
-    """Keys that hold at least ``max(min_rows, rows / MAX_HOT)`` rows, most frequent first.
+def key_hash(df: DataFrame, cols: Sequence[str], kinds: dict[str, str] | None = None) -> Column:
+    """One number per key, null keys included; ``kinds`` are the types in which the other side has them."""
+    kinds = kinds or dict(df.dtypes)
+    return F.xxhash64(*[F.col(c).cast(kinds[c]) for c in cols])
 
-    ``weight`` names a column that says how many rows a row of ``df`` stands for.
 
-    The counts are combined before the shuffle; by the pigeonhole bound at most MAX_HOT keys come
-    to the driver, whatever the size of ``df``. Null keys count as keys.
+def hot_keys(df: DataFrame, key: Column, budget: int, weight: str | None = None) -> DataFrame | None:
+    """_key, _n of the keys (hashes) with more than ``budget`` rows; None if there are none.
+
+    ``weight`` names a column that says how many rows a row of ``df`` stands for. Counts combine
+    before the shuffle. At most LISTED keys come to the driver, to be broadcast; a longer list is
+    kept as a table without a hint, so its joins are chosen, and split where skewed, by AQE.
     """
-    total = df.count() if weight is None else df.agg(F.sum(weight)).first()[0] or 0
-    if total < min_rows:
-        return []
-    at = max(min_rows, -(-total // MAX_HOT))
+    spark = df.sparkSession
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    rows = df.groupBy(*cols).agg(n.alias("count")).filter(F.col("count") >= at).orderBy(F.desc("count")).limit(MAX_HOT).collect()
-    return [tuple(r[c] for c in cols) for r in rows]
-
-
-def key_in(col: str, keys: list[tuple]) -> Column:
-    """True where the column holds one of the keys, null among them; never null."""
-    known = [k for (k,) in keys if k is not None]
-    out = F.coalesce(F.col(col).isin(*known), F.lit(False)) if known else F.lit(False)
-    return out | F.col(col).isNull() if any(k is None for (k,) in keys) else out
-
-
-def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread_by: Column, min_rows: int = 100_000, salts: int = 32, how: str = "inner", hot_from: DataFrame | None = None, weight: str | None = None) -> DataFrame:
-    """Inner or left equi-join that spreads the hot keys of ``big`` over ``salts`` tasks.
-
-    Rows of ``small`` are repeated only for hot keys. Without hot keys it is the plain join. Counts
-    are taken of ``hot_from``, a table with the same keys that is cheaper to read, if given, where
-    ``weight`` says how many rows a row stands for. Keys are
-    told hot by their hash, so the test is one set lookup however many columns and keys there are;
-    a key that shares a hot key's hash is salted on both sides, too.
+    counts = df.groupBy(key.alias("_key")).agg(n.cast("bigint").alias("_n")).filter(F.col("_n") > budget)
+    rows = counts.limit(LISTED + 1).collect()
+    if not rows:
+        return None
+    if len(rows) > LISTED:
+        return keep(counts, "hot")
+    table = pa.table({"_key": pa.array([r["_key"] for r in rows], pa.int64()), "_n": pa.array([r["_n"] for r in rows], pa.int64())})
+    return F.broadcast(spark.createDataFrame(table))
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread_by: Column, budget: int = 100_000, how: str = "inner", hot_from: DataFrame | None = None, weight: str | None = None) -> DataFrame:
+    """Inner or left equi-join in which no task gets more than about ``budget`` rows of a key of ``big``.
+
+    A hot key of n rows is spread over ceil(n / budget) salts, and the rows of ``small`` are
+    repeated as often for that key only. Without hot keys it is the plain join. Counts are taken of
+    ``hot_from``, a table with the same keys that is cheaper to read, if given, where ``weight``
+    says how many rows a row stands for. Keys are told hot by their hash; a key that shares a hot
+    key's hash is salted on both sides, too.
     """
     kinds = dict(big.dtypes)
-    hashed = F.xxhash64(*[F.col(c).cast(kinds[c]) for c in on])
-    hot = [h for (h,) in heavy_keys((big if hot_from is None else hot_from).select(hashed.alias("_key"), *([weight] if weight else [])), ["_key"], min_rows, weight)]
-    if not hot:
+    counted = big if hot_from is None else hot_from
+    hot = hot_keys(counted, key_hash(counted, on, kinds), budget, weight)
+    if hot is None:
         return big.join(small, list(on), how)
-    left = big.withColumn("_salt", F.when(hashed.isin(*hot), F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
-    right = small.withColumn("_salt", F.explode(F.when(hashed.isin(*hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    salts = hot.select("_key", F.ceil(F.col("_n") / budget).cast("int").alias("_salts"))
+    salt = F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(spread_by), F.col("_salts"))).otherwise(F.lit(0)).cast("int")
+    left = big.withColumn("_key", key_hash(big, on)).join(salts, "_key", "left").withColumn("_salt", salt).drop("_key", "_salts")
+    each = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
+    right = small.withColumn("_key", key_hash(small, on, kinds)).join(salts, "_key", "left").withColumn("_salt", each).drop("_key", "_salts")
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
@@ -76,39 +88,60 @@ def bucketed_rank(df: DataFrame, part: Sequence[str], bucket: Column, order: Seq
     return ranked.join(offsets, [*part, "_rank_bucket"]).withColumn(name, F.col("_rank_before") + F.col("_rank_in")).drop("_rank_bucket", "_rank_before", "_rank_in")
 
 
-def split_series(df: DataFrame, key: str, order: str, halo: int, hot_rows: int = 500_000, tie: str | None = None) -> DataFrame:
+def in_ranges(df: DataFrame, order: Sequence[str], size: int, n: int) -> DataFrame:
+    """A kept copy of the ``n`` rows of ``df`` with ``_place``: ranges of ``order`` of about ``size`` rows.
+
+    The ranges come from samples, so the copy is written: a later read must not draw them again.
+    """
+    parts = max(1, -(-n // size))
+    return keep(df.repartitionByRange(parts, *[F.col(c) for c in order]).withColumn("_place", F.spark_partition_id()), "ranges")
+
+
+def split_series(df: DataFrame, key: str, order: str, halo: int, hot_rows: int | None = 500_000, tie: str | None = None) -> DataFrame:
     """Adds ``_part`` and ``_halo`` so that windows of bounded reach need not see a whole hot series.
 
-    Series with at least ``hot_rows`` rows are cut at quantiles of ``order`` (rows that tie stay
-    together), and each part also gets its neighbours' nearest ``halo`` rows, marked ``_halo``; a
-    window over (key, _part) then sees what it would see over the key. Others are one part. ``tie``
-    orders rows of equal ``order``, as the window does.
+    Series with more than ``hot_rows`` rows are cut into parts of half as many rows, in the order of
+    ``order`` and ``tie``, and each part also gets its neighbours' nearest ``halo`` rows, marked
+    ``_halo``; a window over (key, _part) then sees what it would see over the key. Others are one
+    part. Rows are numbered without gathering a series (``bucketed_rank`` over ranges), so there may
+    be any number of parts. None for ``hot_rows`` says that a series is bounded anyhow.
     """
+    plain = df.withColumns({"_part": F.lit(0).cast("bigint"), "_halo": F.lit(False)})
+    if hot_rows is None:
+        return plain
     hot_rows = max(hot_rows, 8 * halo)  # a part holds half of that, so halos come from the next part only
-    plain = df.withColumns({"_part": F.lit(0), "_halo": F.lit(False)})
-    hot = heavy_keys(df.select(key), [key], hot_rows)
-    if not hot:
+    hot = hot_keys(df, F.xxhash64(key), hot_rows)
+    if hot is None:
         return plain
-    big = df.filter(key_in(key, hot))
-    n = {r[key]: r["n"] for r in big.groupBy(key).agg(F.count(F.lit(1)).alias("n")).collect()}
-    at = F.col(order).cast("timestamp") if dict(df.dtypes)[order] in ("timestamp", "timestamp_ntz", "date") else F.col(order)
-    at = F.unix_micros(at) if dict(df.dtypes)[order] in ("timestamp", "timestamp_ntz", "date") else at
-    part = F.lit(0)
-    for (k,) in hot:
-        m = min(4096, max(2, 2 * n[k] // hot_rows))
-        cuts = big.filter(F.col(key).eqNullSafe(F.lit(k))).agg(F.percentile_approx(at, [i / m for i in range(1, m)], 10_000)).first()[0] or []
-        marks = F.array(*[F.lit(c) for c in sorted(set(cuts))])
-        part = F.when(F.col(key).eqNullSafe(F.lit(k)), F.size(F.filter(marks, lambda e: e <= at))).otherwise(part)
-    cut = big.withColumn("_part", part)
-    # parts are numbered without gaps only by chance; neighbours are found by their dense rank
-    numbers = cut.select(key, "_part").distinct().withColumn("_dense", F.row_number().over(Window.partitionBy(key).orderBy("_part")) - 1)
-    cut = cut.join(numbers, [key, "_part"]).drop("_part").withColumnRenamed("_dense", "_part")
-    by = [order, *([tie] if tie else [])]
-    fore = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*by))
-    back = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*[F.desc(c) for c in by]))
-    edged = cut.withColumns({"_fore": fore, "_back": back})
-    copies = edged.filter((F.col("_fore") <= halo) & (F.col("_part") > 0)).withColumn("_part", F.col("_part") - 1).unionByName(
-        edged.filter(F.col("_back") <= halo).withColumn("_part", F.col("_part") + 1)
-    )
-    copies = copies.drop("_fore", "_back").withColumn("_halo", F.lit(True))
-    return plain.filter(~key_in(key, hot)).unionByName(cut.withColumn("_halo", F.lit(False)).select(plain.columns)).unionByName(copies.select(plain.columns))
+    size = hot_rows // 2
+    by = ["_key", key, order, *([tie] if tie else [])]
+    marked = df.withColumn("_key", F.xxhash64(key))
+    placed = in_ranges(marked.join(hot, "_key"), by, size, hot.agg(F.sum("_n")).first()[0])
+    ranked = bucketed_rank(placed, ["_key"], F.col("_place"), [F.col(c) for c in by], "_rn").withColumn("_rn", F.col("_rn") - 1)
+    last = F.floor(F.col("_n") / size) - 1
+    part = F.least(F.floor(F.col("_rn") / size), last)
+    end = F.when(F.col("_p") < last, (F.col("_p") + 1) * size)
+    place = lambda p, h: F.struct(p.cast("bigint").alias("p"), F.lit(h).alias("h"))
+    own, fore, back = place(F.col("_p"), False), place(F.col("_p") - 1, True), place(F.col("_p") + 1, True)
+    places = F.array(own, F.when((F.col("_p") > 0) & (F.col("_rn") - F.col("_p") * size < halo), fore), F.when(end - F.col("_rn") <= halo, back))
+    cut = ranked.withColumn("_p", part).withColumn("_at", F.explode(F.filter(places, lambda s: s.isNotNull())))
+    cut = cut.withColumns({"_part": F.col("_at.p"), "_halo": F.col("_at.h")})
+    return marked.join(hot.select("_key"), "_key", "left_anti").drop("_key").withColumns({"_part": F.lit(0).cast("bigint"), "_halo": F.lit(False)}).unionByName(cut.select(plain.columns))
+
+
+def exact_median(df: DataFrame, by: Sequence[str], value: str, bins: int = 4096) -> DataFrame:
+    """``by``, median of ``value`` (not null), without gathering a group.
+
+    Counts in ``bins`` bins find those that hold the middle ranks; distinct values are counted in
+    these bins only. Windows see one row per bin, or per distinct value of a bin.
+    """
+    span = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_all"))
+    place = F.least(F.lit(bins - 1), F.floor(F.coalesce(F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) * bins))
+    binned = df.join(span, list(by)).withColumn("_bin", place)
+    middle = lambda before, n: reduce(lambda a, b: a | b, [(before <= r) & (r < before + n) for r in (F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2))])
+    upto = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    bins_ = binned.groupBy(*by, "_all", "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    bins_ = bins_.withColumn("_before", F.coalesce(F.sum("_n").over(upto(by, "_bin")), F.lit(0))).filter(middle(F.col("_before"), F.col("_n")))
+    each = binned.join(bins_.select(*by, "_bin", "_before"), [*by, "_bin"]).groupBy(*by, "_all", "_bin", "_before", value).agg(F.count(F.lit(1)).alias("_n"))
+    each = each.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_n").over(upto([*by, "_bin"], value)), F.lit(0))).filter(middle(F.col("_before"), F.col("_n")))
+    return each.groupBy(*by).agg(((F.min(value) + F.max(value)) / 2).alias("median"))

@@ -1,19 +1,40 @@
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from chronoraster.skew import bucketed_rank, heavy_keys, salted_join, split_series
+from chronoraster import skew
+from chronoraster.skew import bucketed_rank, exact_median, hot_keys, salted_join, split_series
 
 
-def test_heavy_keys_are_those_above_the_bound(spark):
+def test_hot_keys_are_those_above_the_budget_whatever_the_size_of_the_table(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 400, 1).when(F.col("id") < 500, None).otherwise(F.col("id")).alias("k"))
-    assert heavy_keys(df, ["k"], 50) == [(1,), (None,)]
-    assert heavy_keys(df, ["k"], 5000) == []
+    for copies in (1, 7):
+        many = df.crossJoin(spark.range(copies)).select("k")
+        assert sorted(r["_n"] for r in hot_keys(many, F.xxhash64("k"), 50).collect()) == [100 * copies, 400 * copies]
+    assert hot_keys(df, F.xxhash64("k"), 5000) is None
 
 
-def test_salted_join_equals_join(spark):
-    big = spark.range(3000).select(F.col("id").alias("row"), (F.col("id") % 7).alias("k")).withColumn("k", F.when(F.col("row") < 2000, 0).otherwise(F.col("k")))
-    small = spark.range(7).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    want = sorted(map(tuple, big.join(small, "k").select("row", "k", "v").collect()))
-    assert sorted(map(tuple, salted_join(big, small, ["k"], F.col("row"), min_rows=100).select("row", "k", "v").collect())) == want
+@pytest.mark.parametrize("listed", [20_000, 1])
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_salted_join_equals_join(spark, monkeypatch, listed, how):
+    monkeypatch.setattr(skew, "LISTED", listed)  # the longer list is a table
+    big = spark.range(3000).select(F.col("id").alias("row"), (F.col("id") % 7).alias("k")).withColumn("k", F.when(F.col("row") < 2000, 0).when(F.col("row") < 2400, 1).when(F.col("row") < 2600, None).otherwise(F.col("k")))
+    small = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    rows = lambda df: sorted(map(str, df.select("row", "k", "v").collect()))
+    assert rows(salted_join(big, small, ["k"], F.col("row"), budget=100, how=how)) == rows(big.join(small, "k", how))
+
+
+def test_a_key_gets_as_many_salts_as_it_needs(spark):
+    big = spark.range(4000).select(F.lit(1).alias("k"), F.col("id").alias("row"))
+    met = salted_join(big, spark.range(3).select(F.col("id").alias("k")), ["k"], F.col("row"), budget=10)
+    assert "_salt" in met._jdf.queryExecution().analyzed().toString() and met.count() == 4000
+
+
+def test_median_without_gathering_equals_the_median(spark):
+    rng = np.random.default_rng(0)
+    data = [(g, float(v)) for g, n in ((1, 501), (2, 400), (3, 1)) for v in np.r_[rng.normal(size=n // 2), np.zeros(n - n // 2)]]
+    got = {r.g: r["median"] for r in exact_median(spark.createDataFrame(data, "g int, v double"), ["g"], "v", bins=7).collect()}
+    assert got == {g: float(np.median([v for k, v in data if k == g])) for g in (1, 2, 3)}
 
 
 def test_bucketed_rank_is_row_number(spark):

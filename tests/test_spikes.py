@@ -63,10 +63,19 @@ def test_flags_equal_the_definitions(spark, at):
     assert flags(spark.createDataFrame(data, SCHEMA)) == brute(data)
 
 
-def test_a_hot_source_in_parts_gives_the_same(spark, at):
-    data = sample(at, 2, 400, 7)
+def whole(df, spec):
+    return {tuple(r) for r in spike_flags(df, spec=spec).collect()}
+
+
+def test_hot_sources_in_parts_give_the_same_flags_and_numbers(spark, at):
+    data = sample(at, 3, 400, 7) + [(10_000 + k, 9, at(k * DAY), 0.25 if k % 90 > 20 else 0.3 + 0.01 * (k % 7), None, "p") for k in range(300)]
     df = spark.createDataFrame(data, SCHEMA)
-    assert flags(df, ChartSpec(hot_rows=120)) == brute(data)
+    rules = {"block": 32, "warm_up": 8}
+    cold = whole(df, ChartSpec(**rules))
+    assert {(f, k, "impossible" if i else "stuck" if s else "spike") for f, k, i, s, p, *_ in cold if i or s or p} == brute(data)
+    for hot_rows in (350, 64):  # some sources hot, all of them hot
+        assert whole(df, ChartSpec(hot_rows=hot_rows, **rules)) == cold
+    assert any(r[7] and r[7] > 30 for r in cold) and any(r[5] and not r[4] and not r[3] for r in cold)
 
 
 def test_a_hot_source_with_many_rows_a_reading_gives_the_same(spark, at):
@@ -76,7 +85,9 @@ def test_a_hot_source_with_many_rows_a_reading_gives_the_same(spark, at):
         v = 0.4321 if 20 <= j < 34 else round(float(0.5 + 0.2 * np.sin(j / 4) + rng.normal(0, 0.01)) - (0.4 if j % 7 == 3 else 0), 4)
         for c in range(100):  # only the earliest row of a reading gives its value
             data.append((100 * j + c, 1, at(j * DAY + 0.3 * c), v if c == 0 else round(float(rng.uniform(0, 0.9)), 4), None if c < 70 else round(v + 0.05, 4), "p"))
-    assert flags(spark.createDataFrame(data, SCHEMA), ChartSpec(hot_rows=400)) == brute(data)
+    df = spark.createDataFrame(data, SCHEMA)
+    assert flags(df, ChartSpec(hot_rows=400, block=16, warm_up=8)) == brute(data)
+    assert whole(df, ChartSpec(hot_rows=400, block=16, warm_up=8)) == whole(df, ChartSpec(block=16, warm_up=8))
 
 
 def test_chart_sees_a_spike_and_is_not_carried_away(spark, at):
