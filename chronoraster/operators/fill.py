@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import is_missing, usable
 from ..session import drop_kept, keep
+from ..skew import salted_join
 
 
 @dataclass(frozen=True)
@@ -44,6 +45,7 @@ class FillSpec:
             "_span": F.floor(F.unix_seconds(F.col("obs_time").cast("timestamp")) / (32 * 86400)),
         }
     )
+    max_columns: int = 2  # of a mined determinant
     min_confidence: float = 0.98
     min_support: int = 20
 
@@ -52,32 +54,44 @@ class FillSpec:
         return [*self.numeric, *self.categorical]
 
 
-def candidates(df: DataFrame, spec: FillSpec) -> list[tuple[str, ...]]:
-    """Determinants to mine: every column of ``df`` that can be one, alone and in pairs.
-
-    These are the columns of discrete types (text, integers, decimals, dates, booleans) that are
-    neither to be filled nor the row's key, and ``occasions``. Times enter by the latter.
-    """
-    if spec.determinants is not None:
-        return [tuple(d) for d in spec.determinants]
+def candidates(df: DataFrame, spec: FillSpec) -> list[str]:
+    """Columns of which determinants are made: those of discrete types (text, integers, decimals,
+    dates, booleans) that are neither to be filled nor the row's key, and ``occasions``. Times enter
+    by the latter."""
     discrete = ("string", "tinyint", "smallint", "int", "bigint", "date", "boolean")
     names = {f for f, *_ in spec.fields}
-    cols = [c for c, kind in df.dtypes if c not in names and c != spec.row_key and (kind in discrete or kind.startswith("decimal"))] + list(spec.occasions)
-    return [*[(c,) for c in cols], *combinations(cols, 2)]
+    return [c for c, kind in df.dtypes if c not in names and c != spec.row_key and (kind in discrete or kind.startswith("decimal"))] + list(spec.occasions)
 
 
-def _donors(df: DataFrame, spec: FillSpec) -> DataFrame:
+def _donors(df: DataFrame, spec: FillSpec, keys: set[str]) -> DataFrame:
     """Key columns and the usable values, under names that clash with nothing."""
-    keys = {k for g in (*candidates(df, spec), *spec.numeric_groups, *spec.categorical_groups) for k in g}
     return df.select(
         *[spec.derived[k].alias(k) if k in spec.derived else F.col(k) for k in sorted(keys)],
         *[usable(f, lo, hi).alias(f"_v_{f}") for f, lo, hi in spec.fields],
     )
 
 
-def _agreement(donors: DataFrame, det: Sequence[str], names: list[str]) -> DataFrame:
-    """Per group of ``det`` with two or more rows: complete records ``_n``, whether they agree in
-    each field (``_same_<f>``), and the donors' common value (``_v_<f>``, null if they differ).
+def _grouped(rows: DataFrame, sets: Sequence[tuple[str, ...]], aggs: Sequence[Column], extra: Sequence[str] = ()) -> DataFrame:
+    """``_set`` (number in ``sets``), keys and ``aggs`` of the groups of all sets, in one pass over ``rows``.
+
+    Keys that are not of the set are null; groups with null in a key of their own set are left out.
+    Columns in ``extra`` belong to every set.
+    """
+    cols = [*sorted({c for s in sets for c in s}), *extra]
+    if not cols:
+        return rows.agg(*aggs).withColumn("_set", F.lit(0))
+    out = rows.groupingSets([[*s, *extra] for s in sets], *cols).agg(F.grouping_id().alias("_gid"), *aggs)
+    number = F.lit(None).cast("int")
+    for i, s in enumerate(sets):
+        gid = sum(1 << (len(cols) - 1 - k) for k, c in enumerate(cols) if c not in s and c not in extra)
+        whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in s], F.col("_gid") == gid)
+        number = F.when(whole, F.lit(i)).otherwise(number)
+    return out.withColumn("_set", number).filter("_set is not null").drop("_gid")
+
+
+def _agreements(rows: DataFrame, sets: Sequence[tuple[str, ...]], names: list[str]) -> DataFrame:
+    """Per set and group of two or more rows: ``_rows``, complete records ``_n``, whether these agree
+    in each field (``_same_<f>``), and the donors' common value (``_v_<f>``, null if they differ).
 
     A group of one row tells nothing about a dependency and can fill nothing.
     """
@@ -86,31 +100,48 @@ def _agreement(donors: DataFrame, det: Sequence[str], names: list[str]) -> DataF
     for f in names:
         v, c = F.col(f"_v_{f}"), F.when(complete, F.col(f"_v_{f}"))
         aggs += [(F.min(c) == F.max(c)).alias(f"_same_{f}"), F.when(F.min(v) == F.max(v), F.min(v)).alias(f"_v_{f}")]
-    keyed = donors.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in det]))
-    return keyed.groupBy(*det).agg(*aggs).filter("_rows > 1").drop("_rows")
+    return keep(_grouped(rows, sets, aggs).filter("_rows > 1"), "agreement")
+
+
+#: Where the groups of a dependency lie: the kept table and the set's number in it.
+Place = tuple[DataFrame, int]
 
 
-def _mined(df: DataFrame, spec: FillSpec) -> tuple[list[dict], dict[tuple[str, ...], DataFrame]]:
-    """Statistics of every dependency, and the kept tables of groups behind the verified ones.
+def _mined(df: DataFrame, spec: FillSpec) -> tuple[list[dict], dict[tuple[str, ...], Place]]:
+    """Statistics of every dependency looked at, and the groups behind the verified ones.
 
-    A pair has no more support than either of its columns, so pairs of a column without enough
-    support are not counted.
+    Level by level: a level's sets are counted in one pass. A set has no more support than its
+    parts, so sets with a part below ``min_support`` are not looked at; nor are sets with a part that
+    determines every field already, as they say nothing new.
     """
     names = [f for f, *_ in spec.fields]
-    donors = _donors(df, spec)
-    out, tables, support = [], {}, {}
-    for det in candidates(df, spec):
-        if len(det) > 1 and any(support.get((c,), spec.min_support) < spec.min_support for c in det):
-            continue
-        table = keep(_agreement(donors, det, names), "agreement")
-        row = table.filter("_n > 1").agg(F.sum("_n").alias("n"), *[F.sum(F.when(F.col(f"_same_{f}"), F.col("_n"))).alias(f) for f in names]).first()
-        n = support[det] = row["n"] or 0
-        for f in names:
-            conf = (row[f] or 0) / n if n else 0.0
-            out.append({"determinant": det, "field": f, "support": n, "confidence": conf, "verified": n >= spec.min_support and conf >= spec.min_confidence})
-        if any(d["verified"] for d in out[-len(names) :]):
-            tables[det] = table
+    cols = candidates(df, spec)
+    out, tables = [], {}
+    support: dict[tuple[str, ...], int] = {}
+    known: dict[tuple[str, ...], set[str]] = {}
+    levels = [[tuple(d) for d in spec.determinants]] if spec.determinants is not None else None
+    for size in range(1, spec.max_columns + 1 if levels is None else 2):
+        if levels is not None:
+            sets = levels[0]
         else:
+            parts = lambda s: [p for n in range(1, len(s)) for p in combinations(s, n)]
+            sets = [s for s in combinations(cols, size) if all(support.get(p, -1) >= spec.min_support for p in combinations(s, size - 1) if p) and set().union(*[known.get(p, set()) for p in parts(s)]) < set(names)]
+        if not sets:
+            break
+        table = _agreements(_donors(df, spec, {c for s in sets for c in s}), sets, names)
+        got = table.filter("_n > 1").groupBy("_set").agg(F.sum("_n").alias("n"), *[F.sum(F.when(F.col(f"_same_{f}"), F.col("_n"))).alias(f) for f in names])
+        got = {r["_set"]: r for r in got.collect()}
+        for i, s in enumerate(sets):
+            n = support[s] = got[i]["n"] if i in got else 0
+            for f in names:
+                conf = (got[i][f] or 0) / n if n else 0.0
+                sure = n >= spec.min_support and conf >= spec.min_confidence
+                out.append({"determinant": s, "field": f, "support": n, "confidence": conf, "verified": sure})
+                if sure:
+                    known.setdefault(s, set()).add(f)
+            if s in known:
+                tables[s] = (table, i)
+        if not any(s in tables for s in sets):
             drop_kept(table)
     return out, tables
 
@@ -123,10 +154,39 @@ def mine_dependencies(df: DataFrame, spec: FillSpec | None = None) -> list[dict]
     Returns one entry per (determinant, field), so a few numbers, whatever the size of ``df``.
     """
     out, tables = _mined(df, spec or FillSpec())
-    drop_kept(*tables.values())
+    drop_kept(*{id(t): t for t, _ in tables.values()}.values())
     return out
 
 
+def _group_values(df: DataFrame, spec: FillSpec) -> dict[str, tuple[DataFrame, list[tuple[str, ...]]]]:
+    """Per kind the kept table of all group values and its sets, the last being the whole table."""
+    out = {}
+    for kind, groups, fields in (("mean", spec.numeric_groups, spec.numeric), ("mode", spec.categorical_groups, spec.categorical)):
+        sets = [*[tuple(g) for g in groups], ()]
+        names = [f"_v_{f}" for f, *_ in fields]
+        rows = _donors(df, spec, {c for s in sets for c in s})
+        if kind == "mean":
+            table = _grouped(rows, sets, [F.count(F.lit(1)).alias("_rows"), *[F.avg(v).alias(v) for v in names]])
+        else:
+            # values are counted first, so no task holds the values of a group
+            tables = []
+            for v in names:
+                counts = _grouped(rows, sets, [F.count(F.lit(1)).alias("_c")], [v])
+                keys = [c for c in counts.columns if c not in (v, "_c")]
+                order = F.when(F.col(v).isNotNull(), F.struct(-F.col("_c"), F.col(v)))
+                tables.append((keys, counts.groupBy(*keys).agg(F.sum("_c").alias("_rows"), F.min_by(v, order).alias(v))))
+            keys, table = tables[0] if tables else (["_set"], rows.limit(0).select(F.lit(0).alias("_set"), F.lit(0).alias("_rows")))
+            for _, t in tables[1:]:
+                on = reduce(lambda a, b: a & b, [table[k].eqNullSafe(t[k]) for k in keys])
+                table = table.join(t.drop("_rows"), on).select(table["*"], *[t[c] for c in t.columns if c not in (*keys, "_rows")])
+        out[kind] = keep(table, "groups"), sets
+    return out
+
+
+#: Rows of a group from which the joins on it are salted.
+HOT_ROWS = 100_000
+
+
 def fill_missing(df: DataFrame, spec: FillSpec | None = None, dependencies: list[dict] | None = None) -> DataFrame:
     """All rows and columns of ``df``, the missing cells filled, and ``<field>_source`` per field.
 
@@ -135,46 +195,60 @@ def fill_missing(df: DataFrame, spec: FillSpec | None = None, dependencies: list
     frequent value of a group (``group:all`` for the table), ``unfilled`` where no donor exists at
     all; the cell is then null. Null keys match no group. Repeated rows stay. An empty table gives
     an empty table. Extra columns pass through.
+
+    ``df`` is read once per level of mining, once for means, once for most frequent values, and once
+    for the result. Groups with more than HOT_ROWS rows, known from the group tables, are salted.
     """
     spec = spec or FillSpec()
-    donors = _donors(df, spec)
     names = [f for f, *_ in spec.fields]
-    deps, mined = _mined(df, spec) if dependencies is None else (dependencies, {})
+    if dependencies is None:
+        deps, mined = _mined(df, spec)
+    else:
+        deps, sets = dependencies, list(dict.fromkeys(tuple(d["determinant"]) for d in dependencies if d["verified"]))
+        table = _agreements(_donors(df, spec, {c for s in sets for c in s}), sets, names) if sets else None
+        mined = {s: (table, i) for i, s in enumerate(sets)}
     kinds = dict(df.dtypes)
     gap = reduce(lambda a, b: a | b, [is_missing(f) for f in names])
     whole = df.filter(~gap)
     for f in names:
         whole = whole.withColumn(f"{f}_source", F.lit("observed"))
     todo = df.filter(gap).withColumns({k: e for k, e in spec.derived.items()})
-    # one aggregation and one join per distinct key, however many fields use it
-    wanted: dict[tuple[str, ...], list[tuple[str, str, str]]] = {}
+    # one join per set of keys of a table, however many fields use it
+    wanted: dict[tuple[str, tuple[str, ...]], list[tuple[str, str]]] = {}
     chain: dict[str, list[tuple[str, Column]]] = {f: [] for f in names}
 
     def want(g: Sequence[str], f: str, kind: str, tag: str) -> None:
         name = f"_{tag}_{'_'.join(g)}_{f}"
-        wanted.setdefault(tuple(g), []).append((f, kind, name))
+        wanted.setdefault((kind, tuple(g)), []).append((f, name))
         chain[f].append((f"{tag}:{'+'.join(k.strip('_') for k in g)}", F.col(name)))
 
     # all dependencies come before all groups: the surest first, then the one known by most
     for d in sorted(deps, key=lambda d: (-d["confidence"], -d["support"], tuple(d["determinant"]))):
         if d["verified"]:
             want(d["determinant"], d["field"], "fd", "fd")
-    for groups, fields, kind in ((spec.numeric_groups, spec.numeric, "mean"), (spec.categorical_groups, spec.categorical, "mode")):
-        for g in groups:
+    groups = _group_values(df, spec)
+    for kind, fields in (("mean", spec.numeric), ("mode", spec.categorical)):
+        for g in groups[kind][1][:-1]:
             for f, *_ in fields:
                 want(g, f, kind, "group")
-    for g, items in wanted.items():
-        keyed = donors.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in g]))
-        dictionary = [(f, name) for f, kind, name in items if kind == "fd"]
-        if dictionary:
-            table = mined[g] if g in mined else _agreement(donors, g, names)
-            todo = todo.join(table.select(*g, *[F.col(f"_v_{f}").alias(name) for f, name in dictionary]), list(g), "left")
-        aggs = [(F.avg(f"_v_{f}") if kind == "mean" else F.mode(f"_v_{f}", True)).alias(name) for f, kind, name in items if kind != "fd"]
-        if aggs:
-            todo = todo.join(keyed.groupBy(*g).agg(*aggs), list(g), "left")
-    overall = donors.agg(*[(F.avg(f"_v_{f}") if i < len(spec.numeric) else F.mode(f"_v_{f}", True)).alias(f"_all_{f}") for i, f in enumerate(names)]).first()
+    hot: dict[int, set[int]] = {}
+    for (kind, g), items in wanted.items():
+        table, at = mined[g] if kind == "fd" else (groups[kind][0], groups[kind][1].index(g))
+        if id(table) not in hot:
+            hot[id(table)] = {r["_set"] for r in table.filter(F.col("_rows") > HOT_ROWS).select("_set").distinct().collect()}
+        own = table.filter(F.col("_set") == at)
+        values = own.select(*g, *[F.col(f"_v_{f}").alias(name) for f, name in items])
+        if at in hot[id(table)]:
+            spread = F.col(spec.row_key) if spec.row_key in kinds else F.struct(*[F.col(c) for c, t in kinds.items() if not t.startswith("map")])
+            todo = salted_join(todo, values, list(g), spread, HOT_ROWS, "left", own, "_rows")
+        else:
+            todo = todo.join(values, list(g), "left")
+    for kind, fields in (("mean", spec.numeric), ("mode", spec.categorical)):
+        table, sets = groups[kind]
+        overall = table.filter(F.col("_set") == len(sets) - 1).first()
+        for f, *_ in fields:
+            chain[f].append(("group:all", F.lit(overall[f"_v_{f}"] if overall else None)))
     for f in names:
-        chain[f].append(("group:all", F.lit(overall[f"_all_{f}"] if overall else None)))
         source = F.when(~is_missing(f), F.lit("observed"))
         value = F.when(~is_missing(f), F.col(f))
         for label, c in chain[f]:

@@ -39,7 +39,7 @@ def smoothed_difference(df: DataFrame, value: str = "ndvi", reference: str = "nd
     return parted.withColumn("cdndvi", F.avg(reference).over(w) - F.avg(value).over(w)).filter("not _halo").drop("_part", "_halo")
 
 
-def slope_changes(df: DataFrame, value: str = "cdndvi", key: str = "id", date: str = "date", look_back: int = 4, look_ahead: int = 3, multiplier: float = 2.0) -> DataFrame:
+def slope_changes(df: DataFrame, value: str = "cdndvi", key: str = "id", date: str = "date", look_back: int = 4, look_ahead: int = 3, multiplier: float = 2.0, hot_rows: int | None = None) -> DataFrame:
     """key, date: points whose slope to the next exceeds mean + multiplier x deviation of the last
     ``look_back`` slopes (itself among them) and is followed by ``look_ahead`` slopes above that mean.
 
@@ -48,16 +48,18 @@ def slope_changes(df: DataFrame, value: str = "cdndvi", key: str = "id", date: s
     multiplier below 1.5. Slopes at a null are null and end every window they lie in.
     """
     daily = df.filter(F.col(key).isNotNull() & F.col(date).isNotNull()).groupBy(key, date).agg(F.avg(value).alias("_c"))
-    w = Window.partitionBy(key).orderBy(date)  # a series has at most a row per day
+    # a series has at most a row per day, so by default none is hot
+    parted = split_series(daily, key, date, look_back + look_ahead + 2, hot_rows)
+    w = Window.partitionBy(key, "_part").orderBy(date)
     slope = (F.lead("_c").over(w) - F.col("_c")) / F.nullif(F.datediff(F.lead(date).over(w), F.col(date)), F.lit(0))
-    s = daily.withColumns({"_s": slope, "_i": F.row_number().over(w)})
+    s = parted.withColumns({"_s": slope, "_i": F.row_number().over(w)})
     back = w.rowsBetween(1 - look_back, 0)
     full = F.count("_s").over(back) == look_back
     t = s.withColumns({"_m": F.when(full, F.avg("_s").over(back)), "_d": F.when(full, F.stddev_samp("_s").over(back))})
     for k in range(1, look_ahead + 1):
         t = t.withColumn(f"_n{k}", F.lead("_s", k).over(w))
     after = reduce(lambda a, b: a & b, [F.col(f"_n{k}") > F.col("_m") for k in range(1, look_ahead + 1)], F.lit(True))
-    return t.filter((F.col("_i") > look_back) & (F.col("_s") > F.col("_m") + multiplier * F.col("_d")) & after).select(key, date)
+    return t.filter("not _halo").filter((F.col("_i") > look_back) & (F.col("_s") > F.col("_m") + multiplier * F.col("_d")) & after).select(key, date)
 
 
 def best_date(df: DataFrame, key: str = "ann_id", date: str = "date", confidence: str = "confidence", ordinal: str = "ord", gap_days: int = 40) -> DataFrame:

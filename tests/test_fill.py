@@ -84,3 +84,26 @@ def test_held_out_values_are_estimated_well(spark):
     back = fill_missing(hidden).filter("rec_id % 10 = 0").select("rec_id", F.col("ndvi").alias("guess")).join(usable.select("rec_id", "ndvi"), "rec_id")
     err, spread = back.agg(F.avg(F.abs(F.col("guess") - F.col("ndvi"))), F.stddev("ndvi")).first()
     assert err < 0.6 * spread
+
+
+def test_several_dependencies_are_mined_and_what_they_imply_is_not(spark, at):
+    # city -> ndvi, (kind, cube_name) -> scl; pairs with city are looked at only for what city does not determine
+    schema = "rec_id bigint, id bigint, cube_name string, obs_time timestamp, ndvi double, ndvi_undist double, scl smallint, city string, kind string"
+    data = [(n, n % 7, f"c{n % 4}", at(n * 3600 * 5), round((n % 10) / 10, 3), (n % 31) / 31, (n % 4 * 3 + n % 3) % 12, f"t{n % 10}", f"k{n % 3}") for n in range(600)]
+    deps = mine_dependencies(spark.createDataFrame(data, schema))
+    sure = {(d["determinant"], d["field"]) for d in deps if d["verified"]}
+    assert {(("city",), "ndvi"), (("cube_name", "kind"), "scl")} <= sure
+    by = {d["determinant"]: d["support"] for d in deps}
+    assert by[("city",)] == 600 and by[("_hour",)] == 0 and not any("_hour" in k for k in by if len(k) == 2)
+
+
+def test_hot_groups_are_filled_alike(spark, at, monkeypatch):
+    from chronoraster.operators import fill
+
+    data = rows(at) + [(1000 + k, 7, "hot", at(k * 40 * DAY), None if k % 3 else 0.5, 0.25, 4 if k % 2 else None, "x") for k in range(300)]
+    df = spark.createDataFrame(data, SCHEMA)
+    want = sorted(map(str, fill_missing(df).collect()))
+    monkeypatch.setattr(fill, "HOT_ROWS", 50)
+    assert sorted(map(str, fill_missing(df).collect())) == want
+    deps = mine_dependencies(df)
+    assert sorted(map(str, fill_missing(df, dependencies=deps).collect())) == want
