@@ -30,7 +30,8 @@ def p4_grid(spark, d):
 
 
 def p4_found(spark, d):
-    return p4_grid(spark, d).filter("source = 'filled'").select("id", "period_no")
+    # a period counts once it has its predicted value, so the fit and the bridging take part
+    return p4_grid(spark, d).filter("source = 'filled' and value is not null").select("id", "period_no")
 
 
 def p5_near(spark, d):

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 
+from chronoraster.operators import proximity
 from chronoraster.operators.proximity import containing_regions, crs_code, near_pairs
 
 ANN = "id bigint, cube_name string, rings array<array<struct<x:double,y:double>>>, crs string, cx string"
@@ -75,3 +76,18 @@ def test_borders_are_half_open(spark):
     a = spark.createDataFrame([(1, "c", box(0, 0), "", None), (2, "c", box(10, 0), "", None)], ANN)
     p = spark.createDataFrame([(1, "c", 5.0, 0.0), (2, "c", -5.0, -5.0), (3, "c", 0.0, 5.0)], "pixel_id bigint, cube_name string, x double, y double")
     assert sorted((r.pixel_id, r.region_id) for r in containing_regions(p, a, ["cube_name"], "pixel_id", "id").collect()) == [(1, 2), (2, 1)]
+
+
+def test_a_region_of_many_vertices_is_one_row_a_cell_and_a_point_meets_few(spark):
+    n = 10_000
+    t = np.linspace(0, 2 * np.pi, n, endpoint=False)
+    r = 300 + 40 * np.sin(37 * t)
+    ring = [(float(500 + q * np.cos(a)), float(500 + q * np.sin(a))) for q, a in zip(r, t)]
+    a = spark.createDataFrame([(1, "c", [ring], "", None), (2, "c", box(510, 510, 3.0), "", None)], ANN)
+    rows = proximity.trapezoids(a, ["cube_name", "id"]).groupBy("id").count().collect()
+    assert all(x["count"] <= 9 for x in rows)
+    rng = np.random.default_rng(1)
+    pts = [(k, "c", float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(100, 900, (400, 2)))] + [(k + 400, "c", ring[k * 31][0] + 1e-3, ring[k * 31][1]) for k in range(300)]
+    p = spark.createDataFrame(pts, "pixel_id bigint, cube_name string, x double, y double")
+    got = {(q.pixel_id, q.region_id) for q in containing_regions(p, a, ["cube_name"], "pixel_id", "id").collect()}
+    assert got == {(k, i) for k, _, x, y in pts for i, shape in ((1, [ring]), (2, box(510, 510, 3.0))) if inside(x, y, shape)}
