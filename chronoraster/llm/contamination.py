@@ -3,12 +3,14 @@
 Runs of five words of the test items are looked up in every document; a hit yields the stretch of
 the document around it. Every run of an item is a seed, so every stretch that shares a run with an
 item is aligned with it by Smith and Waterman's method, which scores edited copies, and the longest
-common run is taken. Scores are taken of many pairs at once; only pairs that reach the least score
-are traced back.
+common run is taken. Pairs advance together in blocks, one word of the items a step, and only the
+last row of each table is held, so memory does not grow with item times text.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,14 +21,23 @@ from ..skew import salted_join, tasks
 from .words import WordHashes, run_hashes, words
 
 GRAM = 5
-FILTER_BITS = 24
 FILTER_HASHES = 3
+#: Runs of one pass over the texts; more are looked up in further passes, so the filter is at most 8 MB.
+MAX_RUNS = 1 << 22
+#: A matched word counts one in the low bits of an alignment's value, its score the high ones.
+SCORE = 1 << 20
+
+
+def filter_bits(runs: int) -> int:
+    """log2 of the filter's size: 16 bits a run, 2^16 at least."""
+    return max(16, (16 * max(1, runs) - 1).bit_length())
 
 
-def _slots(h: np.ndarray) -> np.ndarray:
+def _slots(h: np.ndarray, bits: int) -> np.ndarray:
     """FILTER_HASHES positions in the filter for each hash."""
-    u = h.view(np.uint64)
-    return np.stack([(u >> np.uint64(20 * k)) & np.uint64((1 << FILTER_BITS) - 1) for k in range(FILTER_HASHES)]).astype(np.int64)
+    with np.errstate(over="ignore"):
+        mixed = [h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * 0x632BE59BD9B4E019 * k & (1 << 64) - 1) for k in range(FILTER_HASHES)]
+    return np.stack([u >> np.uint64(64 - bits) for u in mixed]).astype(np.int64)
 
 
 def item_words(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
@@ -43,19 +54,19 @@ def item_words(items: DataFrame, key: str = "item_id", text: str = "text") -> Da
     return rows.mapInPandas(split, f"item_id {kind}, words array<string>, grams array<bigint>")
 
 
-def gram_filter(grams: DataFrame) -> np.ndarray:
-    """Bloom filter of the column ``h``: 2^24 bits (2 MB) whatever the number of items.
+def gram_filter(grams: DataFrame, bits: int) -> np.ndarray:
+    """Bloom filter of the column ``h`` (distinct) with 2^bits bits.
 
-    What comes to the driver are the set bytes, at most 2^21; false hits are removed by the join.
+    What comes to the driver are the bytes that are set; false hits are removed by the join.
     """
 
     def slots(batches):
         for pdf in batches:
-            yield pd.DataFrame({"slot": np.unique(_slots(pdf["h"].to_numpy(np.int64)))})
+            yield pd.DataFrame({"slot": np.unique(_slots(pdf["h"].to_numpy(np.int64), bits))})
 
-    bits = grams.select("h").distinct().mapInPandas(slots, "slot bigint")
-    got = bits.groupBy(F.floor(F.col("slot") / 8).alias("byte")).agg(F.expr("bit_or(shiftleft(1, cast(pmod(slot, 8) as int)))").alias("set")).toPandas()
-    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    set_ = grams.select("h").mapInPandas(slots, "slot bigint")
+    got = set_.groupBy(F.floor(F.col("slot") / 8).alias("byte")).agg(F.expr("bit_or(shiftleft(1, cast(pmod(slot, 8) as int)))").alias("set")).toPandas()
+    out = np.zeros(1 << (bits - 3), np.uint8)
     out[got["byte"].to_numpy(np.int64)] = got["set"].to_numpy(np.uint8)
     return out
 
@@ -67,6 +78,7 @@ def stretches(docs: DataFrame, table: np.ndarray, margin: int, key: str = "doc_i
     overlapping parts are one. ``seg`` is a hash of key, place and words.
     """
     sent = docs.sparkSession.sparkContext.broadcast(table)
+    bits_of = len(table).bit_length() + 2
 
     def find(batches):
         import xxhash
@@ -80,7 +92,7 @@ def stretches(docs: DataFrame, table: np.ndarray, margin: int, key: str = "doc_i
                 if not len(h):
                     continue
                 ok = np.ones(len(h), bool)
-                for s in _slots(h):
+                for s in _slots(h, bits_of):
                     ok &= (bits[s >> 3] >> (s & 7)) & 1 == 1
                 hit = np.flatnonzero(ok)
                 if not len(hit):
@@ -93,51 +105,11 @@ def stretches(docs: DataFrame, table: np.ndarray, margin: int, key: str = "doc_i
 
     kind = dict(docs.dtypes)[key]
     found = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(find, f"seg bigint, doc_id {kind}, words string, hits array<bigint>")
-    return found.dropDuplicates(["seg"])
+    return found.dropDuplicates(["seg", "doc_id", "words"])  # texts whose hashes are equal both stay
 
 
-def align(a: list[str], b: list[str], match: int = 2, miss: int = -1, gap: int = -1) -> tuple[int, int, int]:
-    """Best local alignment score, words of ``a`` it matches, longest common run."""
-    ids: dict[str, int] = {}
-    x = np.array([ids.setdefault(w, len(ids)) for w in a], np.int64)
-    y = np.array([ids.get(w, -1) for w in b], np.int64)
-    n = len(y)
-    ramp = np.arange(n + 1) * gap
-    same = x[:, None] == y
-    gain = np.where(same, match, miss)
-    m = np.zeros((len(x) + 1, n + 1), np.int64)
-    for row, new, g in zip(m, m[1:], gain):
-        np.maximum(row[:-1] + g, row[1:] + gap, out=new[1:])
-        np.maximum(new, 0, out=new)
-        new -= ramp
-        np.maximum.accumulate(new, out=new)  # gaps along b
-        new += ramp
-    # equal words in the order of the diagonals: a common run is a run of consecutive places
-    p, q = np.nonzero(same)
-    place = np.sort((q - p) * (len(x) + 1) + p)
-    longest = int(np.diff(np.r_[0, np.flatnonzero(np.diff(place) != 1) + 1, len(place)]).max()) if len(place) else 0
-    best = int(m.max())
-    i, j = np.unravel_index(int(m.argmax()), m.shape)
-    matched = 0
-    while i and j and m[i, j] > 0:
-        s = m[i, j]
-        if x[i - 1] == y[j - 1] and s == m[i - 1, j - 1] + match:
-            matched, i, j = matched + 1, i - 1, j - 1
-        elif x[i - 1] != y[j - 1] and s == m[i - 1, j - 1] + miss:
-            i, j = i - 1, j - 1
-        elif s == m[i - 1, j] + gap:
-            i -= 1
-        else:
-            j -= 1
-    return best, matched, longest
-
-
-def best_scores(items: list[str], texts: list[str], match: int = 2, miss: int = -1, gap: int = -1, cells: int = 1 << 16) -> np.ndarray:
-    """Best local alignment score of each pair of texts (words between spaces), as ``align`` gives it.
-
-    Pairs of like length advance together, one word of the items a step, in blocks of at most
-    ``cells`` cells (a pair at least).
-    """
+def _blocks(items: list[str], texts: list[str], cells: int):
+    """Blocks of pairs of like length: their numbers, words of items (m, pairs) and of texts (n, pairs)."""
     ids: dict[str, int] = {}
     known: dict[str, np.ndarray] = {}
 
@@ -148,16 +120,27 @@ def best_scores(items: list[str], texts: list[str], match: int = 2, miss: int =
 
     xs, ys = [coded(t) for t in items], [coded(t) for t in texts]
     nx, ny = np.array([len(x) for x in xs], np.int64), np.array([len(y) for y in ys], np.int64)
-    out, order, at = np.zeros(len(xs), np.int64), np.lexsort((nx, ny))[::-1], 0
+    order, at = np.lexsort((nx, ny))[::-1], 0
     while at < len(order):
         n = int(ny[order[at]])
         block = order[at : at + max(1, cells // (n + 1))]
         at += len(block)
-        m = int(nx[block].max())
-        kind = np.int16 if (match + 1) * (m + n + 1) < 1 << 15 else np.int32
-        x, y = np.full((m, len(block)), -1, np.int32), np.full((n, len(block)), -2, np.int32)
+        x, y = np.full((int(nx[block].max()), len(block)), -1, np.int32), np.full((n, len(block)), -2, np.int32)
         for k, i in enumerate(block):
             x[: nx[i], k], y[: ny[i], k] = xs[i], ys[i]
+        yield block, x, y
+
+
+def best_scores(items: list[str], texts: list[str], match: int = 2, miss: int = -1, gap: int = -1, cells: int = 1 << 16) -> np.ndarray:
+    """Best local alignment score of each pair of texts (words between spaces).
+
+    Pairs of like length advance together, one word of the items a step, in blocks of at most
+    ``cells`` cells (a pair at least).
+    """
+    out = np.zeros(len(items), np.int64)
+    for block, x, y in _blocks(items, texts, cells):
+        (m, _), (n, _) = x.shape, y.shape
+        kind = np.int16 if (match + 1) * (m + n + 1) < 1 << 15 else np.int32
         ramp = (np.arange(n + 1) * gap).astype(kind)[:, None]
         row, best = np.zeros((n + 1, len(block)), kind), np.zeros(len(block), kind)
         for w in x:
@@ -173,6 +156,40 @@ def best_scores(items: list[str], texts: list[str], match: int = 2, miss: int =
     return out
 
 
+def alignments(items: list[str], texts: list[str], match: int = 2, miss: int = -1, gap: int = -1, cells: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per pair the best local alignment score, the most words it can match, the longest common run.
+
+    Scores as in ``best_scores``. The matched words are carried along in the low bits of the values
+    and the run of each place beside them, so no table is kept to trace back.
+    """
+    score, matched, longest = (np.zeros(len(items), np.int64) for _ in range(3))
+    for block, x, y in _blocks(items, texts, cells):
+        n = len(y)
+        ramp = (np.arange(n + 1) * (gap * SCORE))[:, None]
+        row, best = np.zeros((n + 1, len(block)), np.int64), np.zeros(len(block), np.int64)
+        run, most = np.zeros((n + 1, len(block)), np.int32), np.zeros(len(block), np.int32)
+        for w in x:
+            same = y == w
+            new = np.zeros_like(row)
+            np.maximum(row[:-1] + np.where(same, match * SCORE + 1, miss * SCORE), row[1:] + gap * SCORE, out=new[1:])
+            new[new < SCORE] = 0
+            new -= ramp
+            np.maximum.accumulate(new, axis=0, out=new)
+            new += ramp
+            new[new < SCORE] = 0  # an alignment without score holds nothing
+            np.maximum(best, new.max(axis=0), out=best)
+            row = new
+            run[1:] = np.where(same, run[:-1] + 1, 0)
+            np.maximum(most, run.max(axis=0), out=most)
+        score[block], matched[block], longest[block] = best // SCORE, best % SCORE, most
+    return score, matched, longest
+
+
+def align(a: list[str], b: list[str]) -> tuple[int, int, int]:
+    """Best local alignment score of one pair, words it matches, longest common run."""
+    return tuple(int(v[0]) for v in alignments([" ".join(a)], [" ".join(b)]))
+
+
 def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", min_run: int = 12, min_score: int | None = None) -> DataFrame:
     """item_id, doc_id, score, matched_share, longest_run: each document and the items it holds.
 
@@ -186,11 +203,17 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", ite
     """
     min_score = 2 * min_run if min_score is None else min_score
     tests = keep(item_words(items.select(item_key, text), item_key, text), "items")
-    grams = tests.select(F.explode("grams").alias("h"))
+    seeds = keep(tests.select("item_id", F.explode("grams").alias("h")).distinct(), "seeds")
+    grams = seeds.select("h").distinct()
+    runs = grams.count()
+    passes = max(1, -(-runs // MAX_RUNS))
     margin = tests.agg(F.max(F.size("words"))).first()[0] or 0
-    found = keep(stretches(docs.select(doc_key, text), gram_filter(grams), margin, doc_key, text), "stretches")
+    each = []
+    for k in range(passes):
+        some = grams.filter(F.pmod(F.xxhash64("h"), F.lit(passes)) == k) if passes > 1 else grams
+        each.append(stretches(docs.select(doc_key, text), gram_filter(some, filter_bits(-(-runs // passes))), margin, doc_key, text))
+    found = keep(reduce(DataFrame.unionByName, each), "stretches")
     hits = found.select("seg", F.explode("hits").alias("h"))
-    seeds = tests.select("item_id", F.explode("grams").alias("h")).distinct()
     candidates = keep(salted_join(hits, seeds, ["h"], F.col("seg")).select("item_id", "seg").distinct(), "candidates")
     sides = salted_join(candidates, tests.select("item_id", F.array_join("words", " ").alias("item")), ["item_id"], F.col("seg"))
     pairs = sides.join(found.select("seg", "doc_id", "words"), "seg")
@@ -198,10 +221,9 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", ite
     def score(batches):
         for pdf in batches:
             pdf = pdf[best_scores(list(pdf["item"]), list(pdf["words"])) >= min_score]
-            got = [align(a.split(), b.split()) for a, b in zip(pdf["item"], pdf["words"])]
-            yield pd.DataFrame({
-                "item_id": pdf["item_id"], "doc_id": pdf["doc_id"], "score": [g[0] for g in got], "matched_share": [g[1] / max(1, len(a.split())) for g, a in zip(got, pdf["item"])], "longest_run": [g[2] for g in got]
-            })
+            score, matched, longest = alignments(list(pdf["item"]), list(pdf["words"]))
+            share = matched / np.maximum(1, pdf["item"].str.split().str.len().to_numpy(np.int64))
+            yield pd.DataFrame({"item_id": pdf["item_id"], "doc_id": pdf["doc_id"], "score": score, "matched_share": share, "longest_run": longest})
 
     kinds = dict(pairs.dtypes)
     # aligning is far dearer than reading a pair, so pairs are dealt out evenly
