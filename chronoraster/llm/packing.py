@@ -15,6 +15,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,10 +47,15 @@ def encoder(path: str = TOKENIZER):
 
 
 def token_sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = TOKENIZER) -> DataFrame:
-    """key, n_tokens of whole texts; 0 for null and empty ones."""
+    """key, n_tokens of whole texts; 0 for null and empty ones.
+
+    The vocabulary is read on the driver's machine and sent to the executors as a file.
+    """
+    docs.sparkSession.sparkContext.addFile(path)
+    name = path.rstrip("/").rpartition("/")[2]
 
     def count(batches):
-        enc = encoder(path)
+        enc = encoder(SparkFiles.get(name))
         for pdf in batches:
             yield pd.DataFrame({"k": pdf["k"], "n_tokens": np.fromiter((len(enc.encode_ordinary(t)) if t else 0 for t in pdf["t"]), np.int64, len(pdf))})
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .contamination import leaked_items
 from .packing import fill_report, packed, token_sizes
 from .repetition import repetition
-from .splits import grouped_splits, linked_pairs, masked_pixels, random_mate, shared_tile_edges, split_report
+from .splits import component_members, grouped_splits, linked_pairs, masked_pixels, random_mate, shared_tile_edges, split_report
 from .target_sample import target_report, target_sample
 
 TILE = ["cube_name", "tile_i", "tile_j"]
@@ -22,6 +22,11 @@ def p1_found(spark, d):
     return linked_pairs(random_mate(shared_tile_edges(masked_pixels(_t(spark, d, "xds_pixels")), "id", TILE)))
 
 
+def p1_members(spark, d):
+    """The same components as one row per annotation: what scales where a component is large."""
+    return component_members(random_mate(shared_tile_edges(masked_pixels(_t(spark, d, "xds_pixels")), "id", TILE)))
+
+
 def p1_splits(spark, d):
     return grouped_splits(_t(spark, d, "xds_pixels"), _t(spark, d, "split_shares"))
 
@@ -31,7 +36,7 @@ def p1_report(spark, d):
 
 
 def p3_found(spark, d):
-    return target_report(_t(spark, d, "patch_index"), _t(spark, d, "patch_targets")).filter("short").select("cube_name", "cls")
+    return p3_report(spark, d).filter("short").select("cube_name", "cls")
 
 
 def p3_sample(spark, d):
@@ -39,7 +44,7 @@ def p3_sample(spark, d):
 
 
 def p3_report(spark, d):
-    return target_report(_t(spark, d, "patch_index"), _t(spark, d, "patch_targets"), p3_sample(spark, d))
+    return target_report(_t(spark, d, "patch_index"), _t(spark, d, "patch_targets"))
 
 
 def p7_packed(spark, d):
@@ -66,7 +71,7 @@ def p9_found(spark, d):
     return p9_repetition(spark, d).filter(F.col("repeated_share") >= 0.25).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_report, p3_found, p3_sample, p3_report, p7_packed, p7_report, p8_found, p8_leaks, p9_found, p9_repetition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_members, p1_splits, p1_report, p3_found, p3_sample, p3_report, p7_packed, p7_report, p8_found, p8_leaks, p9_found, p9_repetition)}
 
 _TARGET = """
 t as (select cube_name g, {c} c, min(cls) cls, greatest(coalesce(max(target_share), 0), 0) share, greatest(max(min_keep), 0) floor_n, greatest(max(sample_size), 0) size
@@ -82,12 +87,15 @@ s as (select * from q where seat <= size)"""
 _WORDS = "regexp_extract_all(lower(regexp_replace(text, '\\\\(\\\\|[A-Za-z]+)', ' ', 'g')), '{}')"
 _GRAMS = """select {k}, p, list_aggregate(w[p : p + {m}], 'string_agg', ' ') gram from (select {k}, w, unnest(generate_series(1, len(w) - {m})) p from (select {k}, {w} w from {t} where text is not null and {k} is not null))"""
 
-SQL = {
-    "p1_found": """
+_LINKED = """
 with recursive e as (select distinct id, cube_name, tile_i, tile_j from xds_pixels where mask = 1 and id is not null and cube_name is not null and tile_i is not null and tile_j is not null),
 n as (select distinct a.id a, b.id b from e a join e b using (cube_name, tile_i, tile_j)),
 c as (select a id, a root from n union select c.id, n.b from c join n on c.root = n.a)
-select id as id_a, root as id_b from c where id < root""",
+"""
+
+SQL = {
+    "p1_found": _LINKED + "select id as id_a, root as id_b from c where id < root",
+    "p1_members": _LINKED + "select id, min(root) component, count(*) n_members from c group by id having count(*) > 1",
     "p3_found": f"with {_TARGET} select g as cube_name, cls from t left join a using (g, c) where coalesce(n, 0) < greatest(floor_n, round(share * size, 6))",
     "p3_sample": f"with {_TARGET}, {_DRAWN} select g as cube_name, cls, i, j from s",
     "p3_report": f"""with {_TARGET}, {_DRAWN}, d as (select g, c, count(*) m from s group by g, c)

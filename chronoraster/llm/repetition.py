@@ -17,11 +17,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import drop_kept, keep
+from ..skew import salted_join
 from .words import LETTERS, words
 
 CLASSES = ("lower", "upper", "digit", "space", "markup", "punctuation", "other")
-MAX_LANGUAGES = 64
 COMMON = 200
+#: Languages whose references are sent to every task (some kB each); more are joined to the texts.
+LISTED = 256
 
 
 def _repeated(ws: list[str], run: int) -> int:
@@ -82,16 +84,13 @@ def language(c: Column | str) -> Column:
     return F.when(t.isNull() | (t == ""), "und").otherwise(t)
 
 
-def language_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, tuple[np.ndarray, dict[str, float]]]:
-    """Per language the shares of character classes and of its 200 most common words, over all texts.
+def language_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """lang, classes, what, shares: per language the shares of the character classes, its 200 most
+    common words and their shares, over all texts.
 
-    The 64 languages with the most texts have a reference of their own, the others share ``und``.
-    Counts are combined per batch and again before the shuffle; what comes to the driver is at most
-    64 x 207 numbers.
+    Counts are combined per batch and again before the shuffle. Kept as a table, a row per language.
     """
     rows = docs.select(language(lang).alias("lang"), F.col(text).alias("t"))
-    top = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    own = F.when(F.col("lang").isin(*top), F.col("lang")).otherwise("und") if top else F.lit("und")
 
     def count(batches):
         held: dict[str, tuple[np.ndarray, Counter]] = {}
@@ -116,20 +115,18 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang")
         if held:
             yield out()
 
-    counts = rows.withColumn("lang", own).mapInPandas(count, "lang string, is_class boolean, what string, n bigint").groupBy("lang", "is_class", "what").agg(F.sum("n").alias("n"))
+    counts = rows.mapInPandas(count, "lang string, is_class boolean, what string, n bigint").groupBy("lang", "is_class", "what").agg(F.sum("n").alias("n"))
     counts = keep(counts, "words")  # read twice below; counting words is the dear part
     first = F.row_number().over(Window.partitionBy("lang", "is_class").orderBy(F.desc("n"), "what"))
-    whole = counts.filter("not is_class").groupBy("lang").agg(F.sum("n").alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    total = {r["lang"]: r["n"] for r in whole}
-    refs: dict[str, tuple[np.ndarray, dict[str, float]]] = {}
-    for r in counts.withColumn("rn", first).filter(F.col("rn") <= COMMON).collect():
-        cl, ws = refs.setdefault(r["lang"], (np.zeros(len(CLASSES)), {}))
-        if r["is_class"]:
-            cl[int(r["what"])] = r["n"]
-        else:
-            ws[r["what"]] = r["n"] / total[r["lang"]]
+    total = counts.groupBy("lang", "is_class").agg(F.sum("n").alias("total"))
+    top = counts.withColumn("rn", first).filter(F.col("rn") <= COMMON).join(total, ["lang", "is_class"])
+    share = F.struct(F.col("rn"), F.col("what"), F.try_divide(F.col("n").cast("double"), F.col("total")).alias("share"))
+    listed = lambda c: F.sort_array(F.collect_list(F.when(c, share)))
+    both = top.groupBy("lang").agg(listed(F.col("is_class")).alias("c"), listed(~F.col("is_class")).alias("w"))
+    classes = F.transform(F.sequence(F.lit(0), F.lit(len(CLASSES) - 1)), lambda i: F.coalesce(F.try_element_at(F.filter("c", lambda e: e["what"] == i.cast("string")), F.lit(1))["share"], F.lit(0.0)))
+    out = keep(both.select("lang", classes.alias("classes"), F.transform("w", lambda e: e["what"]).alias("what"), F.transform("w", lambda e: e["share"]).alias("shares")), "references")
     drop_kept(counts)
-    return {k: (cl / max(1, cl.sum()), ws) for k, (cl, ws) in refs.items()}
+    return out
 
 
 def jensen_shannon(p: np.ndarray, q: np.ndarray) -> float:
@@ -139,26 +136,40 @@ def jensen_shannon(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, (h(p) + h(q)) / 2)))
 
 
-def repetition(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = "lang", run: int = 8, min_words: int = 50, references: dict | None = None) -> DataFrame:
+def repetition(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = "lang", run: int = 8, min_words: int = 50, references: DataFrame | None = None) -> DataFrame:
     """key, n_words, repeated_words, repeated_share, class_distance, word_distance; a row per text.
 
     Words are runs of letters without case, command names left out. ``repeated_share`` is 0 for
     texts of fewer than ``run`` + 1 words, among them null and empty ones. The distances to the
     language's references are null below ``min_words`` words, as small samples always diverge.
-    Repeated rows and null keys stay. ``lang`` None leaves the distances out.
+    Repeated rows and null keys stay. ``lang`` None leaves the distances out. ``references`` are
+    those of ``language_references``, taken from ``docs`` if not given; the numbers are the same
+    whether the references are sent to the tasks or, with many languages, joined to the texts.
     """
     if lang is not None and references is None:
         references = language_references(docs, text, lang)
-    refs = {k: (cl, {w: i for i, w in enumerate(ws)}, np.array([*ws.values(), max(0.0, 1 - sum(ws.values()))])) for k, (cl, ws) in (references or {}).items()}
+    sent = references.limit(LISTED + 1).collect() if references is not None else []
+    joined = len(sent) > LISTED
+
+    def known(classes, what, shares):
+        own = np.asarray(shares, float)
+        return np.asarray(classes, float), {w: i for i, w in enumerate(what)}, np.r_[own, max(0.0, 1 - own.sum())]
+
+    listed = {} if joined else {r["lang"]: (r["classes"], r["what"], r["shares"]) for r in sent}
 
     def measure(batches):
+        refs = {k: known(*v) for k, v in listed.items()}
         for pdf in batches:
             out = []
-            for t, la in zip(pdf["t"], pdf["la"]):
+            for i, (t, la) in enumerate(zip(pdf["t"], pdf["la"])):
                 ws = words(t, LETTERS)
                 rep = _repeated(ws, run)
                 cd = wd = None
-                ref = refs.get(la, refs.get("und"))
+                if joined and la not in refs and pdf["classes"].iloc[i] is not None:
+                    if len(refs) >= LISTED:
+                        refs.clear()
+                    refs[la] = known(pdf["classes"].iloc[i], pdf["what"].iloc[i], pdf["shares"].iloc[i])
+                ref = refs.get(la)
                 if ref is not None and len(ws) >= min_words:
                     cl = _classes(t)
                     cd = jensen_shannon(cl / cl.sum(), ref[0])
@@ -171,6 +182,8 @@ def repetition(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: s
 
     kind = dict(docs.dtypes)[key]
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), (language(lang) if lang else F.lit("und")).alias("la"))
+    if joined:
+        rows = salted_join(rows, references.withColumnRenamed("lang", "la"), ["la"], F.xxhash64("k", "t"), how="left", hot_from=docs.select(language(lang).alias("la")))
     got = rows.mapInPandas(measure, f"k {kind}, n_words int, repeated_words int, repeated_share double, class_distance double, word_distance double")
     nan = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
     return got.select(F.col("k").alias(key), "n_words", "repeated_words", "repeated_share", nan("class_distance"), nan("word_distance"))

@@ -90,6 +90,12 @@ def linked_pairs(labels: DataFrame, min_rows: int = 2000) -> DataFrame:
     return salted_join(a, b, ["label"], F.col("id_a"), min_rows).filter("id_a < id_b").select("id_a", "id_b").distinct()
 
 
+def component_members(labels: DataFrame) -> DataFrame:
+    """id, component, n_members: one row per linked entity; a component is named by its smallest one."""
+    sizes = labels.groupBy("label").agg(F.min("vertex").alias("component"), F.count(F.lit(1)).alias("n_members"))
+    return salted_join(labels, sizes, ["label"], F.col("vertex"), HOT_ROWS).select(F.col("vertex").alias("id"), "component", "n_members")
+
+
 def _shares(shares: DataFrame) -> list[tuple[str, float]]:
     rows = shares.groupBy("split_name").agg(F.sum("share").alias("share")).filter("split_name is not null and share > 0").limit(MAX_SHARES + 1).collect()
     if not 0 < len(rows) <= MAX_SHARES:

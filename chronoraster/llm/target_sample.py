@@ -37,6 +37,18 @@ def _ranked(items: DataFrame, targets: DataFrame, item: list[str], group: str, l
     return bucketed_rank(hashed, ["_g", "_c"], F.substring("_h", 1, 2), [F.col("_h"), *map(F.col, cols)], "_r")
 
 
+def _seated(ranked: DataFrame, cols: list[str]) -> DataFrame:
+    """Items that their category's minimum or share admits or that may get a seat of another: with
+    ``_floor``, priority ``_p`` and ``_seat``, the place in the group's order of priorities."""
+    # an item that is not among the first sample_size of its own category cannot be drawn
+    near = ranked.filter(F.col("_r") <= F.greatest("size", "floor"))
+    prio = near.withColumns({"_floor": F.col("_r") <= F.col("floor"), "_p": F.try_divide(F.col("_r") - F.lit(0.5), F.col("share"))}).filter("_floor or _p is not null")
+    # priorities near the sample size decide; a fixed number of buckets around it keeps the order
+    bucket = F.when(F.col("_floor"), -1).otherwise(F.floor(F.least(F.col("_p") / F.col("size"), F.lit(4.0)) * 32))
+    order = [F.desc("_floor"), F.asc_nulls_last("_p"), F.col("_c"), F.col("_h"), *map(F.col, cols)]
+    return bucketed_rank(prio, ["_g"], bucket, order, "_seat")
+
+
 def target_sample(items: DataFrame, targets: DataFrame, item: tuple[str, ...] = ("i", "j"), group: str = "cube_name", label: str = "cls", seed: int = 42) -> DataFrame:
     """group, label, item columns: the sample, ``sample_size`` items per group where there are as many.
 
@@ -47,33 +59,28 @@ def target_sample(items: DataFrame, targets: DataFrame, item: tuple[str, ...] =
     the smallest priorities among the minimums are drawn. Several targets for one category count
     as one with the largest values. Empty inputs give an empty sample.
     """
-    ranked = _ranked(items, targets, list(item), group, label, seed)
     cols = [f"_i{k}" for k in range(len(item))]
-    # an item that is not among the first sample_size of its own category cannot be drawn
-    near = ranked.filter("_r <= size")
-    prio = near.withColumns({"_floor": F.col("_r") <= F.col("floor"), "_p": F.try_divide(F.col("_r") - F.lit(0.5), F.col("share"))}).filter("_floor or _p is not null")
-    # priorities near the sample size decide; a fixed number of buckets around it keeps the order
-    bucket = F.when(F.col("_floor"), -1).otherwise(F.floor(F.least(F.col("_p") / F.col("size"), F.lit(4.0)) * 32))
-    order = [F.desc("_floor"), F.asc_nulls_last("_p"), F.col("_c"), F.col("_h"), *map(F.col, cols)]
-    drawn = bucketed_rank(prio, ["_g"], bucket, order, "_seat").filter("_seat <= size")
+    drawn = _seated(_ranked(items, targets, list(item), group, label, seed), cols).filter("_seat <= size")
     return drawn.select(F.col("_g").alias(group), F.col("_label").alias(label), *[F.col(a).alias(b) for a, b in zip(cols, item)])
 
 
-def target_report(items: DataFrame, targets: DataFrame, sample: DataFrame | None = None, item: tuple[str, ...] = ("i", "j"), group: str = "cube_name", label: str = "cls", seed: int = 42) -> DataFrame:
+def target_report(items: DataFrame, targets: DataFrame, item: tuple[str, ...] = ("i", "j"), group: str = "cube_name", label: str = "cls", seed: int = 42) -> DataFrame:
     """One row per target: group, label, target_share, min_keep, sample_size, wanted, available, drawn, short.
 
-    ``available`` is the largest rank of the category, ``wanted`` the greater of the minimum and
-    share x size, ``short`` whether fewer are available than wanted. ``drawn`` is given only with
-    ``sample``.
+    ``wanted`` is the greater of the minimum and share x size, ``available`` the category's largest
+    rank, ``drawn`` its seats in the sample. A category is short if it got fewer seats than wanted
+    because it ran out: all its items within the minimum or of a priority below the sample size,
+    which are its own seats before any other category's are passed on, are fewer than wanted.
     """
     t = _targets(targets, group, label)
-    there = _ranked(items, targets, list(item), group, label, seed).groupBy("_g", "_c").agg(F.max("_r").alias("available"))
-    out = t.join(there, ["_g", "_c"], "left").withColumn("available", F.coalesce("available", F.lit(0)))
+    ranked = _ranked(items, targets, list(item), group, label, seed)
+    there = ranked.groupBy("_g", "_c").agg(F.max("_r").alias("available"))
     # share x size is a whole number in decimal arithmetic; binary noise must not make it short
+    own = F.col("_floor") | (F.col("_p") < F.col("size") - 1e-6)
+    seats = _seated(ranked, [f"_i{k}" for k in range(len(item))]).groupBy("_g", "_c").agg(F.count(F.when(F.col("_seat") <= F.col("size"), 1)).alias("drawn"), F.count(F.when(own, 1)).alias("_own"))
+    out = t.join(there, ["_g", "_c"], "left").join(seats, ["_g", "_c"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("available", "drawn", "_own")})
     wanted = F.greatest(F.col("floor").cast("double"), F.round(F.col("share") * F.col("size"), 6))
-    cols = [F.col("_g").alias(group), F.col("_label").alias(label), F.col("share").alias("target_share"), F.col("floor").alias("min_keep"), F.col("size").alias("sample_size"), wanted.alias("wanted"), "available", (F.col("available") < wanted).alias("short")]
-    if sample is not None:
-        n = sample.groupBy(F.col(group).alias("_g"), label_key(label).alias("_c")).agg(F.count(F.lit(1)).alias("drawn"))
-        out = out.join(n, ["_g", "_c"], "left")
-        cols.append(F.coalesce("drawn", F.lit(0)).alias("drawn"))
-    return out.select(*cols)
+    return out.select(
+        F.col("_g").alias(group), F.col("_label").alias(label), F.col("share").alias("target_share"), F.col("floor").alias("min_keep"), F.col("size").alias("sample_size"), wanted.alias("wanted"), "available", "drawn",
+        ((F.col("drawn") < wanted) & (F.col("_own") < wanted)).alias("short"),
+    )

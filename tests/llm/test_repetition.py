@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from chronoraster.llm import repetition as repetition_module
 from chronoraster.llm.repetition import _repeated, jensen_shannon, language_references, repetition
 from chronoraster.llm.words import LETTERS, words
 
@@ -47,9 +48,19 @@ def test_a_row_per_text_whatever_it_is(spark):
 
 def test_references_are_over_all_texts(spark):
     df = spark.createDataFrame([(1, "aa aa bb", "EN", ""), (2, "aa cc", " en ", ""), (3, "zz", None, "")], DOCS)
-    refs = language_references(df)
-    assert refs["en"][1] == {"aa": 0.6, "bb": 0.2, "cc": 0.2} and refs["und"][1] == {"zz": 1.0}
-    assert refs["en"][0].sum() == pytest.approx(1.0)
+    refs = {r.lang: r for r in language_references(df).collect()}
+    assert dict(zip(refs["en"].what, refs["en"].shares)) == {"aa": 0.6, "bb": 0.2, "cc": 0.2} and refs["und"].what == ["zz"] and refs["und"].shares == [1.0]
+    assert sum(refs["en"].classes) == pytest.approx(1.0)
+
+
+def test_many_languages_have_references_of_their_own(spark, monkeypatch):
+    rng = random.Random(4)
+    data = [(k, " ".join(rng.choice("ab cd ef gh ij kl".split()) + str(k % 9 if n % 3 else "") * 0 + "xyz"[k % 3] for n in range(60)), f"l{k % 9}", "") for k in range(60)]
+    df = spark.createDataFrame(data, DOCS)
+    rows = lambda: sorted(map(tuple, repetition(df).collect()))
+    sent = rows()
+    monkeypatch.setattr(repetition_module, "LISTED", 4)
+    assert rows() == sent and len(language_references(df).collect()) == 9 and all(r[5] is not None for r in sent)
 
 
 def test_divergence():

@@ -29,7 +29,7 @@ def test_shares_are_met(spark):
 def test_seats_of_an_exhausted_category_pass_on(spark):
     t = targets(spark, 0.8)
     assert drawn(target_sample(items(spark, 6, 60), t)) == {"Annotation": 6, "No-Annotation": 14}
-    rep = {r.cls: r for r in target_report(items(spark, 6, 60), t, target_sample(items(spark, 6, 60), t)).collect()}
+    rep = {r.cls: r for r in target_report(items(spark, 6, 60), t).collect()}
     assert (rep["Annotation"].wanted, rep["Annotation"].available, rep["Annotation"].drawn, rep["Annotation"].short) == (16.0, 6, 6, True)
     assert not rep["No-Annotation"].short
 
