@@ -90,16 +90,14 @@ def _grouped(rows: DataFrame, sets: Sequence[tuple[str, ...]], aggs: Sequence[Co
 
 
 def _agreements(rows: DataFrame, sets: Sequence[tuple[str, ...]], names: list[str]) -> DataFrame:
-    """Per set and group of two or more rows: ``_rows``, complete records ``_n``, whether these agree
-    in each field (``_same_<f>``), and the donors' common value (``_v_<f>``, null if they differ).
+    """Per set and group of two or more rows: ``_rows``, complete records ``_n``, and the common value
+    of all usable ones in each field (``_v_<f>``, null if they differ).
 
     A group of one row tells nothing about a dependency and can fill nothing.
     """
     complete = reduce(lambda a, b: a & b, [F.col(f"_v_{f}").isNotNull() for f in names])
     aggs = [F.count(F.lit(1)).alias("_rows"), F.count(F.when(complete, 1)).alias("_n")]
-    for f in names:
-        v, c = F.col(f"_v_{f}"), F.when(complete, F.col(f"_v_{f}"))
-        aggs += [(F.min(c) == F.max(c)).alias(f"_same_{f}"), F.when(F.min(v) == F.max(v), F.min(v)).alias(f"_v_{f}")]
+    aggs += [F.when(F.min(v) == F.max(v), F.min(v)).alias(v) for v in (f"_v_{f}" for f in names)]
     return keep(_grouped(rows, sets, aggs).filter("_rows > 1"), "agreement")
 
 
@@ -129,7 +127,7 @@ def _mined(df: DataFrame, spec: FillSpec) -> tuple[list[dict], dict[tuple[str, .
         if not sets:
             break
         table = _agreements(_donors(df, spec, {c for s in sets for c in s}), sets, names)
-        got = table.filter("_n > 1").groupBy("_set").agg(F.sum("_n").alias("n"), *[F.sum(F.when(F.col(f"_same_{f}"), F.col("_n"))).alias(f) for f in names])
+        got = table.filter("_n > 1").groupBy("_set").agg(F.sum("_n").alias("n"), *[F.sum(F.when(F.col(f"_v_{f}").isNotNull(), F.col("_n"))).alias(f) for f in names])
         got = {r["_set"]: r for r in got.collect()}
         for i, s in enumerate(sets):
             n = support[s] = got[i]["n"] if i in got else 0
@@ -150,7 +148,8 @@ def mine_dependencies(df: DataFrame, spec: FillSpec | None = None) -> list[dict]
     """Support and confidence of every determinant for every field, from the complete records.
 
     A record is complete when all fields hold a usable value. Support counts the complete records
-    in groups of two or more; confidence is the share of those whose group agrees in the field.
+    in groups of two or more; confidence is the share of those whose group agrees in the field, in
+    its incomplete records, too.
     Returns one entry per (determinant, field), so a few numbers, whatever the size of ``df``.
     """
     out, tables = _mined(df, spec or FillSpec())

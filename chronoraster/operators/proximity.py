@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..skew import salted_join
+from ..skew import salted_join, tasks
 
 
 def crs_code(c: Column | str) -> Column:
@@ -217,6 +217,7 @@ def near_pairs(annotations: DataFrame, distance: float, key: str = "id", rings:
     r = distance * (1 + 1e-9) + 1e-6
     corner = lambda sx, sy: F.struct((F.col("cx") + sx * r).alias("x"), (F.col("cy") + sy * r).alias("y"))
     squares = places.select("crs", F.col("id").alias("of_id"), F.col("cx").alias("of_x"), F.col("cy").alias("of_y"), F.array(F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1))).alias("rings"))
+    squares = squares.repartition(tasks(squares))  # cutting is far dearer than reading a place
     # all squares have one size, but the rounding of their corners may cross a power of two
     levels = sorted({math.ceil(math.log2(2 * r * f)) for f in (1 - 1e-9, 1 + 1e-9)})
     met = locate(places, "cx", "cy", trapezoids(squares, ["crs", "of_id", "of_x", "of_y"]), levels, ["crs"], "id", hot_rows)
