@@ -89,15 +89,19 @@ def _grouped(rows: DataFrame, sets: Sequence[tuple[str, ...]], aggs: Sequence[Co
     return out.withColumn("_set", number).filter("_set is not null").drop("_gid")
 
 
-def _agreements(rows: DataFrame, sets: Sequence[tuple[str, ...]], names: list[str]) -> DataFrame:
+def _agreements(rows: DataFrame, sets: Sequence[tuple[str, ...]], names: list[str], others: Sequence[str] = ()) -> DataFrame:
     """Per set and group of two or more rows: ``_rows``, complete records ``_n``, and the common value
-    of all usable ones in each field (``_v_<f>``, null if they differ).
+    of all usable ones in each field (``_v_<f>``, null if they differ). ``_one_<c>`` says whether the
+    group holds one value at most of the key column c of ``others``.
 
     A group of one row tells nothing about a dependency and can fill nothing.
     """
     complete = reduce(lambda a, b: a & b, [F.col(f"_v_{f}").isNotNull() for f in names])
     aggs = [F.count(F.lit(1)).alias("_rows"), F.count(F.when(complete, 1)).alias("_n")]
     aggs += [F.when(F.min(v) == F.max(v), F.min(v)).alias(v) for v in (f"_v_{f}" for f in names)]
+    for c in others:
+        h = F.when(F.col(c).isNotNull(), F.xxhash64(c))
+        aggs.append(F.coalesce(F.min(h) == F.max(h), F.lit(True)).alias(f"_one_{c}"))
     return keep(_grouped(rows, sets, aggs).filter("_rows > 1"), "agreement")
 
 
@@ -110,13 +114,15 @@ def _mined(df: DataFrame, spec: FillSpec) -> tuple[list[dict], dict[tuple[str, .
 
     Level by level: a level's sets are counted in one pass. A set has no more support than its
     parts, so sets with a part below ``min_support`` are not looked at; nor are sets with a part that
-    determines every field already, as they say nothing new.
+    determines every field already, as they say nothing new, nor sets in which one column determines
+    another without exception, as that column alone makes the same groups.
     """
     names = [f for f, *_ in spec.fields]
     cols = candidates(df, spec)
     out, tables = [], {}
     support: dict[tuple[str, ...], int] = {}
     known: dict[tuple[str, ...], set[str]] = {}
+    implied: dict[str, set[str]] = {}
     levels = [[tuple(d) for d in spec.determinants]] if spec.determinants is not None else None
     for size in range(1, spec.max_columns + 1 if levels is None else 2):
         if levels is not None:
@@ -124,9 +130,14 @@ def _mined(df: DataFrame, spec: FillSpec) -> tuple[list[dict], dict[tuple[str, .
         else:
             parts = lambda s: [p for n in range(1, len(s)) for p in combinations(s, n)]
             sets = [s for s in combinations(cols, size) if all(support.get(p, -1) >= spec.min_support for p in combinations(s, size - 1) if p) and set().union(*[known.get(p, set()) for p in parts(s)]) < set(names)]
+            sets = [s for s in sets if not any(c in implied.get(p, ()) for p in s for c in s if c != p)]
         if not sets:
             break
-        table = _agreements(_donors(df, spec, {c for s in sets for c in s}), sets, names)
+        others = cols if levels is None and size == 1 else []
+        table = _agreements(_donors(df, spec, {c for s in sets for c in s}), sets, names, others)
+        if others:
+            for r in table.groupBy("_set").agg(*[F.bool_and(f"_one_{c}").alias(c) for c in cols]).collect():
+                implied[sets[r["_set"]][0]] = {c for c in cols if r[c] and c != sets[r["_set"]][0]}
         got = table.filter("_n > 1").groupBy("_set").agg(F.sum("_n").alias("n"), *[F.sum(F.when(F.col(f"_v_{f}").isNotNull(), F.col("_n"))).alias(f) for f in names])
         got = {r["_set"]: r for r in got.collect()}
         for i, s in enumerate(sets):
