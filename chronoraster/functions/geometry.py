@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,6 +73,17 @@ def touches_square(edge: Column, x: Column, y: Column, half: float) -> Column:
     return contains(edge, x, y) | F.exists(edge, meets)
 
 
+def square_distance2(edge: Column, x: Column, y: Column, half: float) -> Column:
+    """Smallest squared distance of any edge to the square around the point, where no edge meets it.
+
+    Two shapes that do not meet are nearest at a corner of one of them.
+    """
+    corners = [edge_distance2(edge, x + sx * half, y + sy * half) for sx in (-1, 1) for sy in (-1, 1)]
+    off = lambda c, m: F.greatest(F.abs(c - m) - half, F.lit(0.0))
+    ends = F.array_min(F.transform(edge, lambda e: off(e["ax"], x) * off(e["ax"], x) + off(e["ay"], y) * off(e["ay"], y)))
+    return F.least(ends, *corners)
+
+
 def bounding_box(rings: Column, buffer: float = 0.0) -> Column:
     """minx, miny, maxx, maxy of all vertices, widened by ``buffer``; nulls without vertices."""
     flat = F.flatten(F.filter(rings, lambda r: r.isNotNull()))
@@ -84,10 +93,6 @@ def bounding_box(rings: Column, buffer: float = 0.0) -> Column:
     )
 
 
-def _ring_area(e: Column) -> Column:
-    return F.aggregate(e, F.lit(0.0), lambda s, k: s + (k["ax"] * k["by"] - k["bx"] * k["ay"])) / 2
-
-
 def repair(rings: Column) -> Column:
     """Closed rings of three vertices or more; null if none is left.
 
@@ -105,63 +110,42 @@ def repair(rings: Column) -> Column:
     return F.when(F.size(kept) > 0, kept)
 
 
-def clip_area(xs: list[np.ndarray], ys: list[np.ndarray], box: tuple[float, float, float, float] | None) -> float:
-    """Even-odd area of the rings within ``box`` (minx, miny, maxx, maxy), or of all for None.
+def signed_rings(rings: Column) -> Column:
+    """array<struct<sign, edges>>: each ring's edges, the sign -1 for a ring inside an odd number of
+    others (a hole). Rings of fewer than three vertices are left out."""
+    each = F.filter(F.transform(F.filter(rings, lambda r: r.isNotNull()), lambda r: edges(F.array(r))), lambda e: F.size(e) >= 3)
 
-    Rings are clipped one by one (Sutherland-Hodgman) and signed so that a ring inside an odd
-    number of others counts as a hole.
+    def sign(e: Column, k: Column) -> Column:
+        around = F.filter(each, lambda o, m: (m != k) & contains(o, e[0]["ax"], e[0]["ay"]))
+        return F.when(F.size(around) % 2 == 1, -1.0).otherwise(1.0)
+
+    return F.transform(each, lambda e, k: F.struct(sign(e, k).alias("sign"), e.alias("edges")))
+
+
+def area_in_box(signed: Column, box: Column | None = None) -> Column:
+    """Area of the rings of ``signed_rings`` within ``box`` (minx, miny, maxx, maxy), or of all of it.
+
+    A ring's area is the sum over its edges of the integral of their height, cut to the box: for an
+    edge from x0 to x1 within the box, of y held between miny and maxy, which is a difference of
+    squares. No vertex is made, so rings of any shape and size are one pass over their edges.
     """
-    total = 0.0
-    rings = [np.column_stack([x, y]) for x, y in zip(xs, ys)]
-    rings = [r[np.isfinite(r).all(1)] for r in rings]
-    rings = [r for r in rings if len(r) >= 3]
-    for k, r in enumerate(rings):
-        depth = sum(_inside(r[0], o) for m, o in enumerate(rings) if m != k)
-        p = r
-        if box:
-            for axis, limit, sign in ((0, box[0], 1), (0, box[2], -1), (1, box[1], 1), (1, box[3], -1)):
-                if not len(p):
-                    break
-                q = np.roll(p, -1, axis=0)
-                inp, inq = sign * (p[:, axis] - limit) >= 0, sign * (q[:, axis] - limit) >= 0
-                out = []
-                for a, b, ia, ib in zip(p, q, inp, inq):
-                    if ia:
-                        out.append(a)
-                    if ia != ib:
-                        out.append(a + (b - a) * ((limit - a[axis]) / (b[axis] - a[axis])))
-                p = np.array(out)
-        if len(p) >= 3:
-            c = p - p[0]  # large coordinates would cost digits
-            n = np.roll(c, -1, axis=0)
-            total += (-1) ** depth * abs(float(np.sum(c[:, 0] * n[:, 1] - n[:, 0] * c[:, 1]))) / 2
-    return total
-
-
-def _inside(pt: np.ndarray, ring: np.ndarray) -> bool:
-    n = np.roll(ring, -1, axis=0)
-    (x, y), a, b = pt, ring, n
-    cross = (a[:, 0] <= x) != (b[:, 0] <= x)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        h = a[:, 1] + (b[:, 1] - a[:, 1]) * (x - a[:, 0]) / (b[:, 0] - a[:, 0])
-    return bool(np.sum(cross & (h <= y)) % 2)
-
-
-@F.pandas_udf(T.DoubleType())
-def overlap_share(xs: pd.Series, ys: pd.Series, minx: pd.Series, miny: pd.Series, maxx: pd.Series, maxy: pd.Series) -> pd.Series:
-    """Part of the polygon's own area within the box; null for polygons without area."""
-    out = []
-    for x, y, *box in zip(xs, ys, minx, miny, maxx, maxy):
-        x, y = [np.asarray(r, float) for r in x], [np.asarray(r, float) for r in y]
-        whole = clip_area(x, y, None)
-        out.append(clip_area(x, y, tuple(box)) / whole if whole > 0 else None)
-    return pd.Series(out, dtype=float)
-
-
-def split_rings(rings: Column) -> tuple[Column, Column]:
-    """Rings as two nested arrays of numbers, which Arrow moves without per-vertex objects."""
-    part = lambda a: F.transform(F.filter(rings, lambda r: r.isNotNull()), lambda r: F.transform(F.filter(r, lambda v: v.isNotNull()), lambda v: v[a]))
-    return part("x"), part("y")
+    def edge(e: Column) -> Column:
+        dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
+        if box is None:
+            return dx * ((e["ay"] - base) + (e["by"] - base)) / 2
+        hold = lambda c: F.greatest(box["minx"], F.least(box["maxx"], c))
+        x0, x1 = hold(e["ax"]), hold(e["bx"])
+        slope = dy / F.nullif(dx, F.lit(0.0))
+        y0, y1 = e["ay"] + (x0 - e["ax"]) * slope - box["miny"], e["ay"] + (x1 - e["ax"]) * slope - box["miny"]
+        high = box["maxy"] - box["miny"]
+        # integral of the held height up to y, from the box's lower side
+        upto = lambda y: F.when(y <= 0, 0.0).when(y <= high, y * y / 2).otherwise(high * high / 2 + high * (y - high))
+        level = F.greatest(F.lit(0.0), F.least(high, (y0 + y1) / 2))
+        return F.when(x0 == x1, 0.0).otherwise((x1 - x0) * F.when(F.abs(y1 - y0) < 1e-9, level).otherwise((upto(y1) - upto(y0)) / (y1 - y0)))
+
+    base = signed[0]["edges"][0]["ay"]  # large coordinates would cost digits
+    one = lambda r: r["sign"] * F.abs(F.aggregate(r["edges"], F.lit(0.0), lambda s, e: s + F.coalesce(edge(e), F.lit(0.0))))
+    return F.aggregate(signed, F.lit(0.0), lambda s, r: s + one(r))
 
 
 # WGS 84 ellipsoid and the scale of the UTM central meridian.

@@ -22,6 +22,14 @@ def patch_grid(scenes: DataFrame, by: list[str], size: int, overlap: int = 0, wi
     return grid.select(*by, "i", "j", F.least(F.lit(size), F.col("_w") - F.col("i")).alias("w"), F.least(F.lit(size), F.col("_h") - F.col("j")).alias("h"))
 
 
+def _held(pixels: DataFrame, col: str, row: str, size: int, step: int) -> DataFrame:
+    """``pixels`` with ``i``, ``j`` of every patch that holds them: one if patches do not overlap."""
+    if step == size:
+        return pixels.withColumns({"i": F.floor(F.col(col) / size) * size, "j": F.floor(F.col(row) / size) * size})
+    spread = lambda c: F.transform(F.sequence(F.lit(0), F.lit((size - 1) // step)), lambda k: (F.floor(F.col(c) / step) - k) * step)
+    return pixels.withColumn("i", F.explode(spread(col))).withColumn("j", F.explode(spread(row))).filter((F.col(col) < F.col("i") + size) & (F.col(row) < F.col("j") + size))
+
+
 def patch_classes(grid: DataFrame, mask: DataFrame, by: list[str], size: int, overlap: int = 0, col: str = "col_idx", row: str = "row_idx", value: str = "mask") -> DataFrame:
     """``grid`` with ``cls``: Annotation where the patch holds a mask pixel other than 0.
 
@@ -31,9 +39,8 @@ def patch_classes(grid: DataFrame, mask: DataFrame, by: list[str], size: int, ov
     step = size - overlap
     if size < 1 or step < 1:
         raise ValueError("the patch size must be positive and exceed the overlap")
-    spread = lambda c: F.transform(F.sequence(F.lit(0), F.lit((size - 1) // step)), lambda k: (F.floor(F.col(c) / step) - k) * step)
     set_ = mask.filter((F.col(value) != 0) & F.col(col).isNotNull() & F.col(row).isNotNull()).select(*by, F.col(col).alias("_c"), F.col(row).alias("_r")).distinct()
-    hit = set_.withColumn("i", F.explode(spread("_c"))).withColumn("j", F.explode(spread("_r"))).filter(F.col("_c") < F.col("i") + size).filter(F.col("_r") < F.col("j") + size)
+    hit = _held(set_, "_c", "_r", size, step)
     on = hit.groupBy(*by, F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j")).agg(F.count(F.lit(1)).alias("n_set"))
     return grid.join(on, [*by, "i", "j"], "left").withColumn("cls", F.when(F.col("n_set") > 0, "Annotation").otherwise("No-Annotation")).drop("n_set")
 
@@ -84,16 +91,17 @@ def patch_balance(patches: DataFrame, by: list[str], count: str = "n_ann", ann_r
     return t.withColumn("keep", ~empty | (F.col("_N") > before)).select(*patches.columns, "keep")
 
 
-def patch_arrays(grid: DataFrame, pixels: DataFrame, by: list[str], size: int, bands: list[str], time: str = "obs_time", col: str = "col_idx", row: str = "row_idx") -> DataFrame:
+def patch_arrays(grid: DataFrame, pixels: DataFrame, by: list[str], size: int, bands: list[str], time: str = "obs_time", col: str = "col_idx", row: str = "row_idx", overlap: int = 0) -> DataFrame:
     """``by``, i, j, time, band, values: dense rows-first arrays of size x size, 0 where no pixel is.
 
     Only pixels of the patches in ``grid`` are gathered; a patch has at most size x size cells, so
     its arrays are bounded. Of repeated pixels the largest value counts. Patches without a pixel
-    have no rows. Assumes patches do not overlap.
+    have no rows. ``overlap`` is that of the grid: a pixel is in every patch that holds it.
     """
-    at = pixels.filter(F.col(col).isNotNull() & F.col(row).isNotNull()).withColumns({
-        "i": (F.floor(F.col(col) / size) * size).cast("int"), "j": (F.floor(F.col(row) / size) * size).cast("int"),
-    })
+    step = size - overlap
+    if size < 1 or step < 1:
+        raise ValueError("the patch size must be positive and exceed the overlap")
+    at = _held(pixels.filter(F.col(col).isNotNull() & F.col(row).isNotNull()), col, row, size, step).withColumns({"i": F.col("i").cast("int"), "j": F.col("j").cast("int")})
     cell = ((F.col(row) - F.col("j")) * size + F.col(col) - F.col("i")).cast("int")
     one = at.join(grid.select(*by, "i", "j").distinct(), [*by, "i", "j"]).groupBy(*by, "i", "j", time, cell.alias("_c")).agg(*[F.max(b).cast("double").alias(b) for b in bands])
     maps = one.groupBy(*by, "i", "j", time).agg(*[F.map_from_entries(F.collect_list(F.struct("_c", F.coalesce(b, F.lit(0.0))))).alias(b) for b in bands])

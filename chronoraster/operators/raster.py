@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.indices import ndvi, ndwi
 from .zonal import pixels_in
 
 
@@ -79,7 +80,7 @@ def resample(pixels: DataFrame, by: list[str], bands: Sequence[str], factor: flo
     return sent.groupBy(*by, F.col("_nc").alias(col), F.col("_nr").alias(row)).agg(*aggs)
 
 
-def contrast_stretch(pixels: DataFrame, by: list[str], band: str, low: float = 0.04, high: float = 0.96, clip: bool = False) -> DataFrame:
+def contrast_stretch(pixels: DataFrame, by: list[str], band: str, low: float = 0.04, high: float = 0.92, clip: bool = False) -> DataFrame:
     """``pixels`` with ``stretched``: position between the two percentiles of the group, null if equal."""
     if by:
         joined = pixels.join(pixels.groupBy(*by).agg(F.percentile(band, [low, high]).alias("_p")), by)
@@ -91,12 +92,17 @@ def contrast_stretch(pixels: DataFrame, by: list[str], band: str, low: float = 0
 
 
 def scaled(pixels: DataFrame, by: list[str], band: str, kind: str = "minmax") -> DataFrame:
-    """``pixels`` with ``scaled``: min-max position or z-score (population deviation) in the group."""
-    if kind == "minmax":
-        a = pixels.groupBy(*by).agg(F.min(band).alias("_a"), (F.max(band) - F.min(band)).alias("_b"))
+    """``pixels`` with ``scaled``: min-max position or z-score (population deviation) in the group.
+
+    Without group columns the two numbers of the whole table are taken.
+    """
+    aggs = [F.min(band).alias("_a"), (F.max(band) - F.min(band)).alias("_b")] if kind == "minmax" else [F.avg(band).alias("_a"), F.stddev_pop(band).alias("_b")]
+    if by:
+        both = pixels.join(pixels.groupBy(*by).agg(*aggs), by)
     else:
-        a = pixels.groupBy(*by).agg(F.avg(band).alias("_a"), F.stddev_pop(band).alias("_b"))
-    return pixels.join(a, by).withColumn("scaled", F.try_divide((F.col(band) - F.col("_a")).cast("double"), F.col("_b").cast("double"))).drop("_a", "_b")
+        a, b = pixels.agg(*aggs).first()
+        both = pixels.withColumns({"_a": F.lit(a).cast("double"), "_b": F.lit(b).cast("double")})
+    return both.withColumn("scaled", F.try_divide((F.col(band) - F.col("_a")).cast("double"), F.col("_b").cast("double"))).drop("_a", "_b")
 
 
 def histogram(pixels: DataFrame, by: list[str], band: str, bins: int = 300) -> DataFrame:
@@ -120,3 +126,21 @@ def chunk_number(key: Column, n: int) -> Column:
 def with_fill_value(df: DataFrame, columns: Sequence[str], fill: float = -9999.0) -> DataFrame:
     """Records the no-data value in the columns' metadata; the data stay as they are."""
     return df.select(*[F.col(c).alias(c, metadata={"_FillValue": fill}) if c in columns else F.col(c) for c in df.columns])
+
+
+def with_indices(pixels: DataFrame, nir: str = "B08", red: str = "B04", swir: str = "B11", only: Sequence[str] = ("NDVI", "NDWI")) -> DataFrame:
+    """``pixels`` with the columns of ``only`` that it lacks computed from its bands.
+
+    A column that is there stays as it is, whatever it holds. Bands of other grids must have been
+    brought to one grid before (``cube.align``); an index one of whose bands has no column is refused.
+    """
+    made = {"NDVI": ((nir, red), ndvi), "NDWI": ((nir, swir), ndwi)}
+    out = pixels
+    for name in only:
+        (a, b), index = made[name]
+        if name in pixels.columns:
+            continue
+        if a not in pixels.columns or b not in pixels.columns:
+            raise ValueError(f"{name} needs the bands {a} and {b}")
+        out = out.withColumn(name, index(F.col(a), F.col(b)))
+    return out

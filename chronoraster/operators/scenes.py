@@ -101,9 +101,10 @@ def scenes_per_month(scenes: DataFrame, ratios: DataFrame, total: int, by: list[
 
 def scenes_around_event(events: DataFrame, scenes: DataFrame, total: int, group: list[str], event_key: str = "id", pre: str = "pre_date", post: str = "post_date", key: str = "scene_id", date: str = "scene_date", seed: int = 42) -> DataFrame:
     """event_key, role, key, date: per event the scenes nearest to its two dates, then others of
-    its group in hashed order up to ``total``; fewer if the group has fewer.
+    its group in hashed order up to ``total``, then padding as in ``pad_scenes`` if the group has
+    fewer: copies of its first and last scene.
 
-    A chosen scene is not chosen again. Events without dates or scenes have no rows. Extras come
+    A chosen scene is not chosen again, except as padding. Events without dates or scenes have no rows. Extras come
     from each group's ``total`` + 2 first scenes in hashed order, so an event meets a bounded number.
     """
     ev = events.filter(F.col(event_key).isNotNull()).select(F.col(event_key).alias("_e"), *group, F.col(pre).alias("_pre"), F.col(post).alias("_post")).dropna(subset=["_pre", "_post"])
@@ -118,6 +119,7 @@ def scenes_around_event(events: DataFrame, scenes: DataFrame, total: int, group:
     w = Window.partitionBy("_e").orderBy("_r")
     room = F.lit(total) - F.when(F.col("_a") == F.col("_b"), 1).otherwise(2)
     extra = extra.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= room).select("_e", F.lit("extra").alias("role"), key, date)
-    return named.select("_e", "_p.*").unionByName(extra).withColumnRenamed("_e", event_key)
-
-
+    chosen = named.select("_e", "_p.*").unionByName(extra)
+    lacking = both.select("_e", *group).join(_ends(s, group, key, date), group)
+    padding = _padded(chosen.select("_e", key, date), lacking, total, ["_e"], key, date).filter("padding")
+    return chosen.unionByName(padding.select("_e", F.lit("padding").alias("role"), key, date)).withColumnRenamed("_e", event_key)

@@ -6,6 +6,8 @@ decides. One grouped query serves all scenes and all annotations.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,15 +40,28 @@ def pixels_in(pixels: DataFrame, annotations: DataFrame, group: list[str], all_t
     return met.filter(rule).drop("edges")
 
 
-def pixels_around(pixels: DataFrame, annotations: DataFrame, group: list[str], inner: float, outer: float, **kw) -> DataFrame:
+def pixels_around(pixels: DataFrame, annotations: DataFrame, group: list[str], inner: float, outer: float, pixel_size: float = 0.0, **kw) -> DataFrame:
     """Pixels with ``inner`` < distance <= ``outer`` of an annotation; adds ``ann_id``, ``dist``.
 
-    ``inner`` below 0 takes the annotation in.
+    ``inner`` below 0 takes the annotation in. With a ``pixel_size`` pixels are squares, and one
+    belongs to the ring if any part of it does (the all-touched rule): its nearest part is within
+    ``outer`` and its centre or a corner beyond ``inner``. ``dist`` is always the centre's.
     """
-    met = candidates(pixels, annotations, group, outer, **kw)
+    half = pixel_size / 2
+    slack = half * math.sqrt(2) * (1 + 1e-9)
+    met = candidates(pixels, annotations, group, outer + slack, **kw)
     # a generated column is computed once; a projected one would be copied into every filter on it
     once = F.explode(F.array(G.distance(F.col("edges"), F.col("x"), F.col("y"))))
-    return met.withColumn("dist", once).filter((F.col("dist") > inner) & (F.col("dist") <= outer)).drop("edges")
+    met = met.withColumn("dist", once)
+    d, e, x, y = F.col("dist"), F.col("edges"), F.col("x"), F.col("y")
+    rule = (d > inner) & (d <= outer)
+    if half:
+        # a square's parts are as far as its centre, give or take the slack, so few need a second look
+        corner = lambda sx, sy: G.distance(e, x + sx * half, y + sy * half) > inner
+        beyond = (d <= inner) & (d > inner - slack) & (corner(-1, -1) | corner(-1, 1) | corner(1, -1) | corner(1, 1))
+        within = (d > outer) & (d <= outer + slack) & (G.square_distance2(e, x, y, half) <= outer * outer)
+        rule = rule | beyond | within
+    return met.filter(rule).drop("edges")
 
 
 def gated_ndvi(inside: DataFrame, by: list[str], ndvi: str = "ndvi", scl: str = "scl", threshold: float = 70.0) -> DataFrame:
@@ -165,10 +180,13 @@ def mean_radar(pixels: DataFrame, by: list[str], vv: str = "vv", vh: str = "vh")
 
 def overlap_shares(windows: DataFrame, annotations: DataFrame, group: list[str], window: Column, key: str = "id", rings: str = "rings", cell: float = 1280.0) -> DataFrame:
     """Windows with each annotation whose extent meets theirs, and ``share``: the part of the
-    annotation's own area inside the window. ``window`` is a struct minx, miny, maxx, maxy."""
+    annotation's own area inside the window. ``window`` is a struct minx, miny, maxx, maxy.
+
+    Null where the annotation has no area. Cells with very many windows are salted.
+    """
     cells = lambda b: (F.sequence(F.floor(b["minx"] / cell), F.floor(b["maxx"] / cell)), F.sequence(F.floor(b["miny"] / cell), F.floor(b["maxy"] / cell)))
-    xs, ys = G.split_rings(F.col(rings))
-    a = annotations.select(*group, F.col(key).alias("ann_id"), xs.alias("_xs"), ys.alias("_ys"), G.bounding_box(F.col(rings)).alias("_a")).filter("_a.minx is not null")
+    a = annotations.select(*group, F.col(key).alias("ann_id"), G.signed_rings(F.col(rings)).alias("_rings"), G.bounding_box(F.col(rings)).alias("_a")).filter("_a.minx is not null")
+    a = a.withColumn("_area", G.area_in_box(F.col("_rings")))
     cx, cy = cells(F.col("_a"))
     a = a.withColumn("_cx", F.explode(cx)).withColumn("_cy", F.explode(cy))
     b = windows.withColumn("_w", window)
@@ -176,9 +194,9 @@ def overlap_shares(windows: DataFrame, annotations: DataFrame, group: list[str],
     b = b.withColumn("_cx", F.explode(cx)).withColumn("_cy", F.explode(cy))
     # of the cells that both meet in, the first one is taken
     first = (F.col("_cx") == F.floor(F.greatest("_a.minx", "_w.minx") / cell)) & (F.col("_cy") == F.floor(F.greatest("_a.miny", "_w.miny") / cell))
-    met = b.join(a, [*group, "_cx", "_cy"]).filter("_a.minx <= _w.maxx and _a.maxx >= _w.minx and _a.miny <= _w.maxy and _a.maxy >= _w.miny").filter(first)
-    share = G.overlap_share("_xs", "_ys", "_w.minx", "_w.miny", "_w.maxx", "_w.maxy")
-    return met.withColumn("share", share).drop("_cx", "_cy", "_xs", "_ys", "_a", "_w")
+    met = salted_join(b, a, [*group, "_cx", "_cy"], F.struct("_w")).filter("_a.minx <= _w.maxx and _a.maxx >= _w.minx and _a.miny <= _w.maxy and _a.maxy >= _w.miny").filter(first)
+    share = F.when(F.col("_area") > 0, G.area_in_box(F.col("_rings"), F.col("_w")) / F.col("_area"))
+    return met.withColumn("share", share).drop("_cx", "_cy", "_rings", "_area", "_a", "_w")
 
 
 def rectangle_mask(pixels: DataFrame, boxes: DataFrame, group: list[str]) -> DataFrame:

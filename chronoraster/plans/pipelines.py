@@ -13,15 +13,15 @@ from ..operators import patches, timeseries, zonal
 from ..session import keep
 
 
-def change_dates(pixels: DataFrame, annotations: DataFrame, group: list[str], inner: float = 10.0, outer: float = 200.0, look_back: int = 6, multiplier: float = 1.0) -> DataFrame:
+def change_dates(pixels: DataFrame, annotations: DataFrame, group: list[str], inner: float = 10.0, outer: float = 200.0, look_back: int = 6, multiplier: float = 1.0, pixel_size: float = 10.0) -> DataFrame:
     """ann_id, best_date: per annotation the date its vegetation most likely changed.
 
     Index in the annotation and in the ring around it (quality-gated) -> despiked series -> smoothed
     difference -> significant slopes -> heaviest run of dates. Annotations without a significant
     slope have no row. ``pixels`` needs pixel_id, x, y, date, scl, ndvi and ``group``.
     """
-    inside = zonal.pixels_in(pixels, annotations, group, all_touched=True)
-    ring = zonal.pixels_around(pixels, annotations, group, inner, outer)
+    inside = zonal.pixels_in(pixels, annotations, group, all_touched=True, pixel_size=pixel_size)
+    ring = zonal.pixels_around(pixels, annotations, group, inner, outer, pixel_size)
     pair = keep(zonal.gated_pair(inside, ring, ["ann_id", "date"]).filter("ndvi is not null"), "pairs")
     # a series has at most a row per day, so none is hot
     clean = timeseries.despike(pair, "ndvi", "ann_id", "date", hot_rows=None)

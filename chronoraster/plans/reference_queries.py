@@ -20,6 +20,7 @@ from ..functions.predicates import time_valid
 from ..operators import changepoint, patches, raster, scenes, timeseries, zonal
 from ..operators.proximity import crs_code
 from ..skew import bucketed_rank
+from ..sources import cube, geotiff
 from . import pipelines
 from .reference_sql import SQL  # noqa: F401
 
@@ -88,6 +89,19 @@ def incomplete_scenes(spark, d):
     return lacking.select("scene_id", F.array_join(F.sort_array("missing"), ",").alias("missing"))
 
 
+def band_parse_old(spark, d):
+    """The older spellings: index layers among the bands, radar bands in lower case, times in names."""
+    b = scenes.bands_of(catalogue(spark, d)).withColumn("stem", N.stem(F.col("path")))
+    return b.select("scene_id", "band", N.s2_band(F.col("path"), True).alias("s2_band"), N.s1_band(F.col("path"), False).alias("s1_band"), N.s1_old_time(F.col("stem")).alias("old_time"))
+
+
+def band_lookup(spark, d):
+    """Per scene the path of one band, and the first band whose pixels are as wide as asked for."""
+    c = catalogue(spark, d)
+    sized = scenes.bands_of(c).join(c.select("scene_id", I.resolution(F.col("geotransform"))["x_res"].alias("x_res")), "scene_id")
+    return c.select("scene_id", scenes.band_path("B04").alias("b04_path")).join(scenes.band_by_resolution(sized, 10), "scene_id", "left")
+
+
 def scene_resolution(spark, d):
     c = catalogue(spark, d)
     g = I.rescaled_grid(F.col("geotransform"), F.col("width"), F.col("height"), 20.0)
@@ -132,6 +146,12 @@ def event_timeseries(spark, d):
     return scenes.scenes_around_event(annotations(spark, d), s2, 6, CUBE).select("id", "role", "scene_id")
 
 
+def event_timeseries_padded(spark, d):
+    """More scenes than a cube has: what lacks is padding."""
+    s2 = catalogue(spark, d).filter("satellite = 'sentinel-2'")
+    return scenes.scenes_around_event(annotations(spark, d), s2, 150, CUBE).groupBy("id", "role", "scene_id").agg(F.count(F.lit(1)).alias("copies"))
+
+
 # --- pixels ---------------------------------------------------------------------------------------
 
 
@@ -168,6 +188,16 @@ def zscore(spark, d):
     return raster.scaled(pixels(spark, d), ["scene_id"], "b04", "zscore").select("pixel_id", r("scaled").alias("scaled"))
 
 
+def minmax_global(spark, d):
+    return raster.scaled(pixels(spark, d), [], "b04").select("pixel_id", "scaled")
+
+
+def indices_added(spark, d):
+    """Indices that the pixels lack; B02 stands for the absent short-wave band."""
+    p = pixels(spark, d).withColumnRenamed("ndvi", "NDVI")
+    return raster.with_indices(p, "b08", "b04", "b02").select("pixel_id", "NDVI", "NDWI")
+
+
 def contrast_stretch(spark, d):
     return raster.contrast_stretch(pixels(spark, d), CUBE, "b04", 0.04, 0.92).select("pixel_id", r("stretched").alias("stretched"))
 
@@ -190,7 +220,51 @@ def tile_round_trip(spark, d):
 
 def resample_bilinear(spark, d):
     p = pixels(spark, d).filter("scene_id is not null").groupBy("scene_id", "row_idx", "col_idx").agg(F.max("b04").alias("b04"), F.max("scl").alias("scl"))
-    return raster.resample(p, ["scene_id"], ["b04", "scl"], 2.0)
+    return raster.resample(p, ["scene_id"], ["b04", "scl"], 2.0).select("scene_id", "col_idx", "row_idx", r("b04").alias("b04"), "scl")
+
+
+# --- files ----------------------------------------------------------------------------------------
+
+
+def _files(spark, d, bands: list[str], size: int = 32, grid: str = "geotransform") -> DataFrame:
+    """path, content: the pixels of every scene as GeoTIFF files, one per scene and ``size`` x ``size`` window."""
+    c = catalogue(spark, d).select("scene_id", F.col(grid).alias("t"), F.lpad(crs_code("crs"), 5, "0").alias("epsg"), F.col("scene_date").cast("string").alias("day"))
+    tiles = raster.to_tiles(pixels(spark, d).filter("scene_id is not null"), bands, ["scene_id"], size).join(c.filter("t is not null"), "scene_id")
+    path = F.concat_ws("/", "scene_id", F.concat_ws("_", "tile_col", "tile_row"))
+    return cube.encode_tiles(tiles, bands, path, F.col("t"), F.coalesce(F.col("epsg").try_cast("int"), F.lit(0)), F.col("day"))
+
+
+def _rows(files: DataFrame, **kw) -> DataFrame:
+    return geotiff.decode_files(files, **kw).withColumn("scene_id", F.split("path", "/")[0])
+
+
+def geotiff_pixels(spark, d):
+    """Pixels written as raster files and read back with places and dates."""
+    px = cube.load_pixels(_rows(_files(spark, d, ["b04", "b08"])), ["b04", "b08"], ["scene_id", "path"])
+    return px.select("scene_id", "date", "x", "y", "b04", "b08")
+
+
+def stack_aligned(spark, d):
+    """Files of a fine band and of a coarse one, brought to the grid of the fine one."""
+    p = pixels(spark, d).filter("scene_id is not null")
+    c = catalogue(spark, d).filter("geotransform is not null")
+    fine = p.groupBy("scene_id", "col_idx", "row_idx").agg(F.max("b04").alias("value")).withColumn("band", F.lit("B04"))
+    coarse = p.groupBy("scene_id", F.floor(F.col("col_idx") / 2).cast("int").alias("col_idx"), F.floor(F.col("row_idx") / 2).cast("int").alias("row_idx")).agg(F.max("b08").alias("value")).withColumn("band", F.lit("B11"))
+    t = F.col("geotransform")
+    scale = F.when(F.col("band") == "B11", 2.0).otherwise(1.0)
+    own = F.struct((t["a"] * scale).alias("a"), t["b"].alias("b"), t["c"].alias("c"), t["d"].alias("d"), (t["e"] * scale).alias("e"), t["f"].alias("f"))
+    long = fine.unionByName(coarse).join(c.select("scene_id", "geotransform", "width", "height"), "scene_id").filter("value is not null").withColumn("transform", own)
+    at = {"x": F.col("transform.c") + (F.col("col_idx") + 0.5) * F.col("transform.a"), "y": F.col("transform.f") + (F.col("row_idx") + 0.5) * F.col("transform.e")}
+    size = {n: F.when(F.col("band") == "B11", F.ceil(F.col(n) / 2)).otherwise(F.col(n)).cast("int") for n in ("width", "height")}
+    z = cube.align(long.withColumns({**at, **size}), ["scene_id"], ["B04", "B11"])
+    return z.select("scene_id", "row_idx", "col_idx", "B04", r("B11").alias("B11"))
+
+
+def patch_window(spark, d):
+    """One window of every file, read alone; zeros where it holds nothing."""
+    files = _files(spark, d, ["b04"])
+    w = cube.window_patch(_rows(files, window=(4, 4, 16, 16)), ["scene_id", "path"], 4, 4, 16)
+    return w.select("path", "band", F.size("values").alias("n"), F.aggregate("values", F.lit(0.0), lambda a, v: a + v).alias("total")).filter("total <> 0")
 
 
 # --- polygons -------------------------------------------------------------------------------------
@@ -230,7 +304,7 @@ def zonal_ndvi_gated(spark, d):
 
 def ring_ndvi(spark, d):
     p, a = pixels(spark, d), annotations(spark, d)
-    ring = zonal.pixels_around(p, a, CUBE, 10.0, 200.0)
+    ring = zonal.pixels_around(p, a, CUBE, 10.0, 200.0, 10.0)
     z = zonal.gated_pair(zonal.pixels_in(p, a, CUBE, all_touched=True), ring, ["ann_id", "date"])
     return z.select("ann_id", "date", r("ndvi").alias("ndvi"), r("ndvi_undist").alias("ndvi_undist"))
 
@@ -269,6 +343,12 @@ def spectral_signature(spark, d):
     return z.select("ann_id", "date", "band", r("mean").alias("mean"))
 
 
+def band_means(spark, d):
+    """Plain means, of all values and not of the positive ones only."""
+    z = zonal.signature(_inside(spark, d), ["ann_id"], ["b02", "b04", "b08"], positive=False)
+    return z.select("ann_id", "band", r("mean").alias("mean"))
+
+
 def signature_pivot(spark, d):
     long = zonal.signature(_inside(spark, d), ["ann_id", "date"], ["b04"]).withColumn("date", F.date_format("date", "yyyyMMdd"))
     dates = [x.d for x in pixels(spark, d).select(F.date_format("date", "yyyyMMdd").alias("d")).filter("d is not null").distinct().orderBy("d").collect()]
@@ -371,10 +451,14 @@ def patch_ratio_sample(spark, d):
     return patches.ratio_sample(patch_classify(spark, d), CUBE, (70, 30)).select("cube_name", "i", "j", "cls")
 
 
+def _overlaps(spark, d):
+    return zonal.overlap_shares(patch_extent(spark, d), annotations(spark, d), CUBE, F.struct("minx", "miny", "maxx", "maxy"))
+
+
 def patch_balance(spark, d):
-    g = patch_classify(spark, d)
-    held = pixels(spark, d).filter("mask = 1 and id is not null").groupBy("cube_name", F.col("tile_i").alias("i"), F.col("tile_j").alias("j")).agg(F.countDistinct("id").alias("n_ann"))
-    tasks = g.join(held, ["cube_name", "i", "j"], "left").withColumn("n_ann", F.coalesce("n_ann", F.lit(0)))
+    """A patch counts once for every annotation with at least a tenth of its area in it."""
+    held = _overlaps(spark, d).filter("share >= 0.1").groupBy("cube_name", "i", "j").agg(F.countDistinct("ann_id").alias("n_ann"))
+    tasks = patch_classify(spark, d).join(held, ["cube_name", "i", "j"], "left").withColumn("n_ann", F.coalesce("n_ann", F.lit(0)))
     return patches.patch_balance(tasks, CUBE).filter("keep").select("cube_name", "i", "j", "n_ann")
 
 
@@ -383,6 +467,11 @@ def patch_arrays(spark, d):
     return a.select("cube_name", "i", "j", "date", "band", F.size("values").alias("n"), F.aggregate("values", F.lit(0.0), lambda s, v: s + v).alias("total"))
 
 
+def patch_arrays_overlapping(spark, d):
+    a = patches.patch_arrays(patch_classify_overlapping(spark, d), pixels(spark, d), CUBE, 100, ["b04", "mask"], "date", overlap=36)
+    return a.select("cube_name", "i", "j", "date", "band", F.size("values").alias("n"), F.aggregate("values", F.lit(0.0), lambda s, v: s + v).alias("total"))
+
+
 def patch_extent(spark, d):
     t = catalogue(spark, d).filter("satellite = 'sentinel-2'").groupBy("cube_name").agg(F.max("geotransform").alias("t"), F.max("width").alias("width"), F.max("height").alias("height"))
     g = patches.patch_grid(t, CUBE, SIZE).join(t.select("cube_name", "t"), "cube_name")
@@ -390,17 +479,19 @@ def patch_extent(spark, d):
 
 
 def annotation_overlap(spark, d):
-    w = F.struct("minx", "miny", "maxx", "maxy")
-    z = zonal.overlap_shares(patch_extent(spark, d), annotations(spark, d), CUBE, w)
-    return z.filter("share >= 0.1").select("cube_name", "i", "j", "ann_id", r("share", 4).alias("share"))
+    return _overlaps(spark, d).filter("share >= 0.1").select("cube_name", "i", "j", "ann_id", r("share", 4).alias("share"))
 
 
 def window_best_date(spark, d):
     """Annotations meeting a patch, with the best of their candidate dates; null without any."""
-    best = best_date(spark, d)
-    w = F.struct("minx", "miny", "maxx", "maxy")
-    met = zonal.overlap_shares(patch_extent(spark, d), annotations(spark, d), CUBE, w).filter("share > 0").select("cube_name", "i", "j", "ann_id").distinct()
-    return met.join(best, "ann_id", "left")
+    met = _overlaps(spark, d).filter("share > 1e-9").select("cube_name", "i", "j", "ann_id").distinct()
+    return met.join(best_date(spark, d), "ann_id", "left")
+
+
+def window_dates_missing(spark, d):
+    """The report beside it: annotations in a patch that have no candidate date, and in how many."""
+    met = _overlaps(spark, d).filter("share > 1e-9").select("cube_name", "i", "j", "ann_id").distinct()
+    return met.join(best_date(spark, d).filter("best_date is not null"), "ann_id", "left_anti").groupBy("ann_id").agg(F.count(F.lit(1)).alias("n_windows"))
 
 
 def scene_chunks(spark, d):
@@ -420,10 +511,10 @@ def pipeline_patches(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        scene_catalogue, band_parse, cube_date_range, incomplete_scenes, scene_resolution, scene_removed, sensors_united, bad_pixel_ratio, time_mask, closest_image, monthly_timeseries, timeseries_pad,
-        event_timeseries, ndvi_current, ndvi_old, ndwi, cross_ratio, linear_to_db, mean_sar, minmax, zscore, contrast_stretch, histogram_300, stacked_bands, tile_round_trip, resample_bilinear,
-        annotation_boxes, pixel_in_annotation, pixel_touches_annotation, rasterize_mask, mask_attached, zonal_ndvi_gated, ring_ndvi, buffer_ladder_ndvi, dating_map, spectral_signature, signature_pivot,
+        scene_catalogue, band_parse, band_parse_old, band_lookup, cube_date_range, incomplete_scenes, scene_resolution, scene_removed, sensors_united, bad_pixel_ratio, time_mask, closest_image, monthly_timeseries, timeseries_pad,
+        event_timeseries, event_timeseries_padded, ndvi_current, ndvi_old, ndwi, cross_ratio, linear_to_db, mean_sar, minmax, minmax_global, indices_added, zscore, contrast_stretch, histogram_300, stacked_bands, tile_round_trip, resample_bilinear, geotiff_pixels, stack_aligned, patch_window,
+        annotation_boxes, pixel_in_annotation, pixel_touches_annotation, rasterize_mask, mask_attached, zonal_ndvi_gated, ring_ndvi, buffer_ladder_ndvi, dating_map, spectral_signature, band_means, signature_pivot,
         signature_json, scl_histogram, scl_map, ann_bad_pixel_filter, class_ring, nearby_ndvi, extent_pixels, annotations_reprojected, despike, cdndvi, slope_changes, best_date, change_points, patch_grid,
-        patch_classify, patch_classify_overlapping, patch_sample, patch_ratio_sample, patch_balance, patch_arrays, patch_extent, annotation_overlap, window_best_date, scene_chunks, pipeline_change_dates, pipeline_patches,
+        patch_classify, patch_classify_overlapping, patch_sample, patch_ratio_sample, patch_balance, patch_arrays, patch_arrays_overlapping, patch_extent, annotation_overlap, window_best_date, window_dates_missing, scene_chunks, pipeline_change_dates, pipeline_patches,
     )
 }

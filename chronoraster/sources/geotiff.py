@@ -1,7 +1,9 @@
 """GeoTIFF as a data source: blocks of bands as rows.
 
-``spark.read.format("geotiff").load(glob)`` after ``register(spark)``. Each file is cut into ranges
-of blocks, and a task seeks to its own blocks only. Strips and tiles, no compression, deflate and
+``spark.read.format("geotiff").load(glob)`` after ``register(spark)``. The driver only lists names and
+sizes; a large file is cut into slices, and a task reads the header and seeks to the blocks of its
+own slice. Options: ``bands`` (descriptions, comma separated) and ``window`` (col,row,width,height)
+restrict what is read, blocks outside are not touched; ``slice_mb`` sets the slices' size. Strips and tiles, no compression, deflate and
 LZW, horizontal differencing, both byte orders, classic and big files; anything else is refused
 with a message. Paths must be readable by the executors as files; ``decode_files`` takes the
 content from Spark's binaryFile source instead and so reads any file system Spark knows.
@@ -11,14 +13,16 @@ from __future__ import annotations
 
 import glob
 import io
+import math
+import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Any, BinaryIO
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -26,6 +30,11 @@ SCHEMA = (
     "path string, band int, description string, time string, block_row int, block_col int, row_off int, col_off int, w int, h int, width int, height int, "
     "transform struct<a:double,b:double,c:double,d:double,e:double,f:double>, epsg int, nodata double, values array<double>"
 )
+ARROW = pa.schema([
+    *[pa.field(n, k) for n, k in (("path", pa.string()), ("band", pa.int32()), ("description", pa.string()), ("time", pa.string()))],
+    *[pa.field(n, pa.int32()) for n in ("block_row", "block_col", "row_off", "col_off", "w", "h", "width", "height")],
+    pa.field("transform", pa.struct([(k, pa.float64()) for k in "abcdef"])), pa.field("epsg", pa.int32()), pa.field("nodata", pa.float64()), pa.field("values", pa.list_(pa.float64())),
+])
 # TIFF field types (size, struct code) and tag numbers.
 TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 7: (1, "B"), 8: (2, "h"), 9: (4, "i"), 11: (4, "f"), 12: (8, "d"), 13: (4, "I"), 16: (8, "Q"), 17: (8, "q"), 18: (8, "Q")}
 WIDTH, LENGTH, BITS, COMPRESSION, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR = 256, 257, 258, 259, 273, 277, 278, 279, 284, 317
@@ -168,41 +177,55 @@ def lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def rows(path: str, f: BinaryIO, first: int = 0, last: int | None = None) -> Iterator[tuple]:
-    """Rows in the order of SCHEMA of blocks first..last-1; no-data and NaN become null."""
+def rows(path: str, f: BinaryIO, part: int = 0, parts: int = 1, bands: set[str] | None = None, window: tuple[int, ...] | None = None) -> Iterator[pa.RecordBatch]:
+    """A batch of SCHEMA per band and block of slice ``part``; no-data and NaN become null."""
     t = Tiff(f)
-    for k in range(first, t.blocks if last is None else min(last, t.blocks)):
+    place = t.transform
+    for k in range(part * t.blocks // parts, (part + 1) * t.blocks // parts):
+        r, c = divmod(k % (t.across * t.down), t.across)
+        if window and (c * t.bw >= window[0] + window[2] or (c + 1) * t.bw <= window[0] or r * t.bh >= window[1] + window[3] or (r + 1) * t.bh <= window[1]):
+            continue
+        if bands and t.planar and t.description(k // (t.across * t.down) + 1) not in bands:
+            continue
         for band, r, c, a in t.block(k):
+            name = t.description(band)
+            if bands and name not in bands:
+                continue
+            row, col = r * t.bh, c * t.bw
+            if window:
+                top, left = max(0, window[1] - row), max(0, window[0] - col)
+                a = a[top : window[1] + window[3] - row, left : window[0] + window[2] - col]
+                row, col = row + top, col + left
             v = a.astype(float).ravel()
             gone = np.isnan(v) | (v == t.nodata if t.nodata is not None else False)
-            yield (
-                path, band, t.description(band), t.time, r, c, r * t.bh, c * t.bw, a.shape[1], a.shape[0], t.width, t.height, t.transform, t.epsg, t.nodata,
-                [None if g else x for x, g in zip(v.tolist(), gone)],
-            )
+            values = pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, pa.float64(), mask=np.broadcast_to(gone, v.shape)))
+            one = [path, band, name, t.time, r, c, row, col, a.shape[1], a.shape[0], t.width, t.height, dict(zip("abcdef", place)) if place else None, t.epsg, t.nodata]
+            yield pa.RecordBatch.from_arrays([*[pa.array([x], kind) for x, kind in zip(one, ARROW.types)], values], schema=ARROW)
 
 
-class Blocks(InputPartition):
-    def __init__(self, path: str, first: int, last: int) -> None:
-        self.path, self.first, self.last = path, first, last
+class Slice(InputPartition):
+    def __init__(self, path: str, part: int, parts: int) -> None:
+        self.path, self.part, self.parts = path, part, parts
 
 
 class GeoTiffReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.pattern = options.get("path", "")
-        self.per_task = int(options.get("blocks_per_task", "64"))
+        self.slice = float(options.get("slice_mb", "64")) * 1e6
+        self.bands = {b.strip() for b in options["bands"].split(",")} if options.get("bands") else None
+        self.window = tuple(int(x) for x in options["window"].split(",")) if options.get("window") else None
 
-    def partitions(self) -> list[Blocks]:
+    def partitions(self) -> list[Slice]:
         out = []
         for p in sorted(glob.glob(self.pattern.removeprefix("file:"), recursive=True)):
-            with open(p, "rb") as f:
-                n = Tiff(f).blocks
-            out += [Blocks(p, k, k + self.per_task) for k in range(0, n, self.per_task)]
-        return out or [Blocks("", 0, 0)]
+            n = max(1, math.ceil(os.path.getsize(p) / self.slice))
+            out += [Slice(p, k, n) for k in range(n)]
+        return out or [Slice("", 0, 1)]
 
-    def read(self, part: Blocks) -> Iterator[tuple]:
+    def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
         if part.path:
             with open(part.path, "rb") as f:
-                yield from rows(part.path, f, part.first, part.last)
+                yield from rows(part.path, f, part.part, part.parts, self.bands, self.window)
 
 
 class GeoTiff(DataSource):
@@ -221,18 +244,17 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(GeoTiff)
 
 
-def decode_files(files: DataFrame) -> DataFrame:
-    """The same rows from Spark's binaryFile source (path, content); a file per row must fit a task."""
+def decode_files(files: DataFrame, bands: Sequence[str] | None = None, window: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """The same rows from Spark's binaryFile source (path, content), which lists files in its own way
+    and reads any file system; a file per row must fit a task."""
+    wanted = set(bands) if bands else None
 
     def decode(batches):
-        names = [c.split()[0] for c in re.split(r", (?![a-z]:)", SCHEMA)]
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                got = pd.DataFrame(list(rows(path, io.BytesIO(content))), columns=names)
-                got["transform"] = [None if t is None else dict(zip("abcdef", t)) for t in got["transform"]]
-                yield got
-
-    return files.select("path", "content").mapInPandas(decode, SCHEMA)
+        for batch in batches:
+            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
+                yield from rows(path, io.BytesIO(content), bands=wanted, window=window)
+
+    return files.select("path", "content").mapInArrow(decode, SCHEMA)
 
 
 def encode(bands: list[np.ndarray], transform: tuple[float, ...], epsg: int, descriptions: list[str], time: str = "", nodata: float | None = None, tile: int = 0, deflate: bool = True, predictor: bool = False) -> bytes:

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,15 +75,42 @@ def test_geometry(spark):
 
 
 def test_overlap_and_repair(spark):
-    xs, ys = [[p[0] for p in r] for r in SQUARE], [[p[1] for p in r] for r in SQUARE]
-    df = spark.createDataFrame([(xs, ys, 0.0, 0.0, 5.0, 10.0), ([], [], 0.0, 0.0, 1.0, 1.0)], "x array<array<double>>, y array<array<double>>, a double, b double, c double, d double")
-    got = [r.v for r in df.select(G.overlap_share("x", "y", "a", "b", "c", "d").alias("v")).collect()]
-    assert got[0] == pytest.approx((50 - 2) / 96) and got[1] is None
+    df = spark.createDataFrame([(SQUARE, (0.0, 0.0, 5.0, 10.0)), ([], (0.0, 0.0, 1.0, 1.0))], RING + ", b struct<minx:double,miny:double,maxx:double,maxy:double>")
+    s = G.signed_rings(F.col("rings"))
+    got = [tuple(r) for r in df.select(G.area_in_box(s, F.col("b")), G.area_in_box(s)).collect()]
+    assert got == [(pytest.approx(50 - 2), pytest.approx(96)), (0.0, 0.0)]
     bad = spark.createDataFrame([([[(0.0, 0.0), (0.0, 0.0), (1.0, 0.0), (1.0, None), (1.0, 1.0)], [(0.0, 0.0)], None],), ([[]],), (None,)], RING)
     fixed = [r.v for r in bad.select(G.repair(F.col("rings")).alias("v")).collect()]
     assert [[tuple(p) for p in r] for r in fixed[0]] == [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]] and fixed[1:] == [None, None]
 
 
+def clipped(ring, box):
+    """Area of a ring cut by the four sides of a box, one after the other."""
+    p = list(ring)
+    for axis, limit, sign in ((0, box[0], 1), (0, box[2], -1), (1, box[1], 1), (1, box[3], -1)):
+        out = []
+        for a, b in zip(p, p[1:] + p[:1]):
+            ina, inb = sign * (a[axis] - limit) >= 0, sign * (b[axis] - limit) >= 0
+            out += [a] if ina else []
+            if ina != inb:
+                f = (limit - a[axis]) / (b[axis] - a[axis])
+                out.append((a[0] + f * (b[0] - a[0]), a[1] + f * (b[1] - a[1])))
+        p = out
+    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1]))) / 2
+
+
+def test_area_in_a_box_equals_clipping(spark):
+    rng = random.Random(9)
+    data = []
+    for _ in range(60):
+        at = sorted(rng.uniform(0, 2 * math.pi) for _ in range(rng.choice([3, 5, 12])))
+        data.append(([[(500 + rng.uniform(20, 90) * math.cos(a), 9000 + rng.uniform(20, 90) * math.sin(a)) for a in at]], [500 + rng.uniform(-90, 60), 9000 + rng.uniform(-90, 60)]))
+    boxes = [(r, (x, y, x + 50.0, y + 30.0)) for r, (x, y) in data]
+    df = spark.createDataFrame(boxes, RING + ", b struct<minx:double,miny:double,maxx:double,maxy:double>")
+    got = [r.v for r in df.select(G.area_in_box(G.signed_rings(F.col("rings")), F.col("b")).alias("v")).collect()]
+    assert got == [pytest.approx(clipped(r[0], b), abs=1e-6) for r, b in boxes] and sum(g > 0 for g in got) > 20
+
+
 def test_utm(spark):
     df = spark.createDataFrame([(9.0, 48.0), (11.5, -33.25)], "lon double, lat double")
     p = df.withColumn("u", G.to_utm(F.col("lon"), F.col("lat"), 32)).withColumn("g", G.from_utm(F.col("u.x"), F.col("u.y"), 32)).collect()

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoraster.sources import geotiff, scene_folders, shapefile, sinks
+from chronoraster.sources import cube, geotiff, scene_folders, shapefile, sinks
 from chronoraster.streaming import ingest
 
 
@@ -17,7 +17,7 @@ def test_geotiff_round_trip(spark, tmp_path, kw, dtype):
     bands = [rng.integers(0, 100, (37, 21)).astype(dtype) for _ in range(2)]
     (tmp_path / "a.tif").write_bytes(geotiff.encode(bands, (10, 0, 200000, 0, -10, 9300000), 32632, ["B02", "SCL"], "2019-05-09", 7, **kw))
     geotiff.register(spark)
-    df = spark.read.format("geotiff").option("blocks_per_task", 2).load(f"{tmp_path}/*.tif")
+    df = spark.read.format("geotiff").option("slice_mb", 0.0004).load(f"{tmp_path}/*.tif")
     files = spark.read.format("binaryFile").load(str(tmp_path))
     for source in (df, geotiff.decode_files(files)):
         got = [np.full((37, 21), np.nan) for _ in bands]
@@ -34,6 +34,51 @@ def test_geotiff_refuses_what_it_cannot_read():
         geotiff.Tiff(io.BytesIO(b"no tiff at all.."))
 
 
+def test_window_and_bands_are_read_alone(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    grids = [rng.integers(1, 100, (70, 50)).astype("u2") for _ in range(3)]
+    (tmp_path / "a.tif").write_bytes(geotiff.encode(grids, (10, 0, 0, 0, -10, 0), 32632, ["B02", "B04", "SCL"], "2019-05-09", tile=16))
+    geotiff.register(spark)
+    df = spark.read.format("geotiff").option("bands", "B04, SCL").option("window", "40,10,30,20").load(f"{tmp_path}/*.tif")
+    rows = df.collect()
+    assert {r.description for r in rows} == {"B04", "SCL"} and len(rows) == 2 * 2 * 2  # blocks 2..3 across, cut by the raster, 0..1 down
+    got = {r.band: np.array(r["values"]) for r in cube.window_patch(df, ["path"], 40, 10, 32).collect() if r.band == "B04"}
+    want = np.zeros((32, 32))
+    want[:20, :10] = grids[1][10:30, 40:50]
+    assert np.array_equal(got["B04"].reshape(32, 32), want)  # beyond the raster and the option's window: 0
+
+
+def test_pixels_of_files_have_places_dates_and_bands(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    for k in range(2):
+        grids = [rng.integers(0, 9, (5, 4)).astype("i2") for _ in range(2 - k)]
+        grids[0][2, 3] = -9999
+        (tmp_path / f"s{k}.tif").write_bytes(geotiff.encode(grids, (10, 0, 1000, 0, -10, 2000), 32632, ["B02", "B04"][: 2 - k], f"2019-05-0{k + 1}", -9999))
+    geotiff.register(spark)
+    px = cube.load_pixels(spark.read.format("geotiff").load(f"{tmp_path}/*.tif"), ["B02", "B04"]).collect()
+    assert len(px) == 39  # the second file has no other band beside its no-data cell
+    p = next(r for r in px if r.path.endswith("s0.tif") and (r.row_idx, r.col_idx) == (2, 3))
+    assert (p.x, p.y, str(p.date), p.B02) == (1035.0, 1975.0, "2019-05-01", None) and p.B04 is not None
+    assert all(r.B04 is None for r in px if r.path.endswith("s1.tif"))
+    assert cube.load_pixels(spark.createDataFrame([], geotiff.SCHEMA), ["B02"]).count() == 0
+
+
+def test_bands_of_another_grid_are_brought_to_the_first_ones(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    fine, coarse, scl = rng.integers(1, 100, (6, 8)).astype("f8"), rng.integers(1, 100, (3, 4)).astype("f8"), rng.integers(0, 11, (3, 4)).astype("f8")
+    for name, grid, size in (("B02", fine, 10), ("B11", coarse, 20), ("SCL", scl, 20)):
+        (tmp_path / f"x_{name}.tif").write_bytes(geotiff.encode([grid], (size, 0, 1000, 0, -size, 2000), 32632, [name], "2019-05-01"))
+    geotiff.register(spark)
+    rows = spark.read.format("geotiff").load(f"{tmp_path}/*.tif").withColumn("scene", F.lit("s"))
+    got = {(r.row_idx, r.col_idx): r for r in cube.align(cube.band_pixels(rows, ["scene"]), ["scene"], ["B02", "B11", "SCL"]).collect()}
+    assert len(got) == 48
+    for (i, j), r in got.items():
+        v, u = (i + 0.5) / 2 - 0.5, (j + 0.5) / 2 - 0.5
+        near = [(a, b, (1 - abs(v - a)) * (1 - abs(u - b))) for a in range(3) for b in range(4) if abs(v - a) < 1 and abs(u - b) < 1]
+        assert r.B02 == fine[i, j] and abs(r.B11 - sum(w * coarse[a, b] for a, b, w in near) / sum(w for *_, w in near)) < 1e-9
+        assert r.SCL == scl[i // 2, j // 2]
+
+
 def test_lzw():
     codes = [256, 65, 66, 258, 260, 257]  # A B AB ABA
     bits = "".join(f"{c:09b}" for c in codes)
