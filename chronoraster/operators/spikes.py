@@ -2,9 +2,10 @@
 
 Each source and field gets a robust exponentially weighted control chart: mean and scale follow
 the readings, but a suspected reading is clipped to the chart's limits before it updates them. Run
-counters find stuck values, fixed limits find impossible ones. A chart looks back only, so it lags
-where the season turns; the exact local test (distance from the centred median of five against the
-source's own median step) decides what counts as a spike, and the chart's signal stands beside it.
+counters find stuck values, fixed limits find impossible ones. A chart lags where the season turns,
+so one runs forward and one backward in time and both must signal. The exact local test (distance
+from the centred median of five against the source's own median step) decides what counts as a
+spike, and the charts' signal stands beside it.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.missing import is_missing, usable
 from ..session import keep
 from ..skew import bucketed_rank, exact_median, hot_keys, in_ranges, salted_join
+from .batches import whole_groups
 
 
 @dataclass(frozen=True)
@@ -35,8 +37,8 @@ class ChartSpec:
     weight: float = 0.3  # of the newest reading in the chart
     signal: float = 4.0  # chart limits, in scales
     clip: float = 2.5  # a suspected reading moves the chart at most so many scales
-    block: int = 1024  # readings after which a source's chart and run counter start anew, whatever its size
-    warm_up: int = 64  # readings before a block that its chart and counter see first
+    block: int = 1024  # readings after which a source's charts and run counter start anew, whatever its size
+    warm_up: int = 64  # readings before (behind) a block that its charts and counter see first
     hot_rows: int = 500_000  # a source with more rows is cut into parts of whole blocks; results do not change
 
     def __post_init__(self) -> None:
@@ -126,15 +128,22 @@ def _tests(group: np.ndarray, k: np.ndarray, v: np.ndarray, typical: np.ndarray,
     close = np.r_[False, same & (np.abs(np.diff(v)) <= spec.stuck_range + TINY)][:m]
     begin = np.maximum.accumulate(np.where(close, 0, np.arange(m)))
     run = np.arange(m) - np.maximum(begin, np.repeat(since, ends - opens)) + 1
-    # a chart per block, warm-up first
-    length = ends - since
-    which = np.repeat(np.arange(len(opens)), length)
-    source = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(since, length)
+    # two charts per block, each with its warm-up first: one forward, one backward in time
     floor = np.maximum(np.nan_to_num(typical[group[opens]], nan=0.01), 0.002)
-    charted = _chart(which, v[source], spec, floor)
-    z = np.zeros(m)
-    own = source >= np.repeat(opens, length)
-    z[source[own]] = charted[own]
+    until = np.minimum(np.searchsorted(group, group[opens], "right"), ends + spec.warm_up)
+
+    def charted(length: np.ndarray, source: np.ndarray) -> np.ndarray:
+        block_no = np.repeat(np.arange(len(opens)), length)
+        own = (source >= opens[block_no]) & (source < ends[block_no])
+        out = np.zeros(m)
+        out[source[own]] = _chart(block_no, v[source], spec, floor)[own]
+        return out
+
+    count = lambda length: np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    fore = charted(ends - since, np.repeat(since, ends - since) + count(ends - since))
+    back = charted(until - opens, np.repeat(until, until - opens) - 1 - count(until - opens))
+    # a spike is far from what came before and from what comes after; a turn of the season from one only
+    z = np.where(np.abs(back) < np.abs(fore), back, fore)
     return {"stuck": stuck, "spike": spike, "chart_signal": np.abs(z) > spec.signal, "chart_z": z, "run_length": run.astype("int32")}
 
 
@@ -162,32 +171,12 @@ def _judge(pdf: pd.DataFrame, fields: Sequence[str], spec: ChartSpec) -> pd.Data
     return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in OUT.split(", ")})
 
 
-def _whole_groups(batches, by: Sequence[str], block: int = 100_000):
-    """Frames that end with a group's last row; the rest waits for the next batch."""
-    held: list[pd.DataFrame] = []
-    size = 0
-    for pdf in batches:
-        held.append(pdf)
-        size += len(pdf)
-        if size >= block:
-            whole = pd.concat(held, ignore_index=True)
-            last = np.ones(len(whole), bool)
-            for c in by:
-                last &= (whole[c] == whole[c].iloc[-1]).to_numpy()
-            cut = int(np.argmax(last))
-            held, size = [whole.iloc[cut:]], len(whole) - cut
-            if cut:
-                yield whole.iloc[:cut].reset_index(drop=True)
-    if size:
-        yield pd.concat(held, ignore_index=True)
-
-
 def _hot_flags(rows: DataFrame, n: int, fields: Sequence[str], spec: ChartSpec) -> DataFrame:
     """Flags of sources too large for a task, the same as ``_judge`` gives.
 
     Readings are numbered without gathering a source: rows lie in ranges of (source, time), and one
     row per range carries on what came before. Parts of whole blocks follow from the numbers, each
-    with the readings of the warm-up before it and of a stuck run after it.
+    with the readings of the warm-ups before and behind it.
     """
     kind = dict(rows.dtypes)["id"]
     gap = spec.same_reading_s * 1e6
@@ -210,12 +199,12 @@ def _hot_flags(rows: DataFrame, n: int, fields: Sequence[str], spec: ChartSpec)
     own = F.floor(F.col("k") / length)
     place = lambda p, h: F.struct(p.alias("part"), F.lit(h).alias("halo"))
     ahead = F.when((own + 1) * length - F.col("k") <= spec.warm_up, place(own + 1, True))
-    behind = F.when((own > 0) & (F.col("k") - own * length < spec.stuck_run), place(own - 1, True))
+    behind = F.when((own > 0) & (F.col("k") - own * length < spec.warm_up), place(own - 1, True))
     parts = readings.withColumn("_p", F.explode(F.filter(F.array(place(own, False), ahead, behind), lambda s: s.isNotNull()))).select("id", "field", "_session", "v", "k", "_p.*")
     parts = parts.join(typical, ["id", "field"], "left")
 
     def judge(batches):
-        for pdf in _whole_groups(batches, ("id", "field", "part")):
+        for pdf in whole_groups(batches, ("id", "field", "part")):
             key = pdf[["id", "field", "part"]]
             new = np.r_[True, (key.iloc[1:].to_numpy() != key.iloc[:-1].to_numpy()).any(1)]
             got = _tests(np.cumsum(new) - 1, pdf["k"].to_numpy(np.int64), pdf["v"].to_numpy(float), pdf["median"].to_numpy(float)[new], spec)
@@ -260,7 +249,7 @@ def _series_flags(df: DataFrame, fields: Sequence[str], source: str, time: str,
     cold = rows if hot is None else rows.withColumn("_key", F.xxhash64("id")).join(hot.select("_key"), "_key", "left_anti").drop("_key")
 
     def judge(batches):
-        for pdf in _whole_groups(batches, ("id",)):
+        for pdf in whole_groups(batches, ("id",)):
             yield _judge(pdf, fields, spec)
 
     flags = cold.repartition("id").sortWithinPartitions("id", "t", "row_key").mapInPandas(judge, OUT)
