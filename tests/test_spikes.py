@@ -75,7 +75,7 @@ def test_hot_sources_in_parts_give_the_same_flags_and_numbers(spark, at):
     assert {(f, k, "impossible" if i else "stuck" if s else "spike") for f, k, i, s, p, *_ in cold if i or s or p} == brute(data)
     for hot_rows in (350, 64):  # some sources hot, all of them hot
         assert whole(df, ChartSpec(hot_rows=hot_rows, **rules)) == cold
-    assert any(r[7] and r[7] > 30 for r in cold) and any(r[5] and not r[4] and not r[3] for r in cold)
+    assert any(r[7] and r[7] > 30 for r in cold) and sum(bool(r[5]) for r in cold) > 10
 
 
 def test_a_hot_source_with_many_rows_a_reading_gives_the_same(spark, at):
