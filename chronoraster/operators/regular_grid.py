@@ -98,12 +98,14 @@ def regular_grid(
     whole = whole.withColumn("_a", F.last(knot, True).over(back)).withColumn("_b", F.last(knot, True).over(ahead))
     part = (F.col("period_no") - F.col("_a.period_no")) / (F.col("_b.period_no") - F.col("_a.period_no"))
     bridged = F.col("_a.res") + F.when(F.col("_b.period_no") > F.col("_a.period_no"), part).otherwise(0.0) * (F.col("_b.res") - F.col("_a.res"))
+    predicted = F.col("model") + bridged
+    held = F.when(predicted < low, F.lit(low)).when(predicted > high, F.lit(high)).otherwise(predicted)  # null without a prediction
     return whole.select(
         "id",
         "period_no",
         (F.lit(start).cast("timestamp") + F.make_dt_interval(F.col("period_no").cast("int") * days)).alias("period_start"),
         "n_readings",
-        F.coalesce("value", F.greatest(F.lit(low), F.least(F.lit(high), F.col("model") + bridged))).alias("value"),
+        F.coalesce("value", held).alias("value"),
         "model",
         F.when(F.col("value").isNotNull(), "observed").otherwise("filled").alias("source"),
     )
