@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.predicates import BAD_CLASSES, VEGETATION, bad_percent, good_gate, is_bad, time_valid
+from ..session import keep
 from ..skew import salted_join
 
+#: Days of a group with at most so many vegetation pixels are looked at whole by a growing buffer.
+FEW = 64
+
 
 def candidates(pixels: DataFrame, annotations: DataFrame, group: list[str], reach: float, cell: float = 640.0, key: str = "id", rings: str = "rings", spread_by: str = "pixel_id") -> DataFrame:
     """Pixels with every annotation whose bounding box, widened by ``reach``, holds their centre.
@@ -78,13 +82,78 @@ def gated_ndvi(inside: DataFrame, by: list[str], ndvi: str = "ndvi", scl: str =
     return inside.groupBy(*by).agg(F.when(open_, F.avg(x)).alias("mean"), F.when(open_, F.percentile(x, 0.5)).alias("median"), n.alias("n"))
 
 
+def _need(factor: int) -> Column:
+    return F.greatest(F.lit(1), F.col("n") * factor).alias("_need")
+
+
+def in_growing_reach(pixels: DataFrame, annotations: DataFrame, counts: DataFrame, group: list[str], by: list[str], ndvi: str = "ndvi", scl: str = "scl", first: float = 100.0, growth: float = 1.5, rungs: int = 8, factor: int = 5, empty_limit: float = 500.0, key: str = "id", rings: str = "rings") -> DataFrame:
+    """``by``, dist, _need, index and class: the vegetation that decides ``growing_buffer_ndvi``.
+
+    Of each annotation and day in ``counts`` it holds all vegetation up to a rung that is enough,
+    and leaves out those that no rung can serve. ``by`` is ann_id and columns of ``group``. The rung
+    is bounded from above, as no pixel is farther from a polygon than from one of its vertices:
+    first by the vegetation in the cell around the vertex whose diagonal is the radius, then by
+    the distances to the vertex. Only pixels within the last bound are kept, and ``dist`` is measured
+    against the edges only where extent and vertex differ in the rung; else it is the vertex's.
+    Pairs so grow with annotations and not with annotations times pixels of a day.
+    """
+    radii = [first * growth**k for k in range(rungs)]
+    slack = 1 + 1e-9
+    radius = F.element_at(F.array(*[F.lit(float(r)) for r in radii]), F.col("_k") + 1)
+    of = lambda d2: F.least(*[F.when(d2 <= r * r, k).otherwise(rungs) for k, r in enumerate(radii)])
+    on = F.col
+    veg = keep(pixels.filter((on(scl) == VEGETATION) & on(ndvi).isNotNull()).filter("x is not null and y is not null and not isnan(x) and not isnan(y)").select(*group, "x", "y", ndvi, scl), "vegetation")
+    days = veg.groupBy(*group).agg(F.count(F.lit(1)).alias("_v"))
+    same = F.count(F.lit(1)).over(Window.partitionBy(key))
+    shapes = keep(annotations.select(*[c for c in group if c not in by], key, rings, same.alias("_same")).select("*", F.monotonically_increasing_id().alias("_shape")), "shapes")
+    edge = F.get(G.edges(on(rings)), F.lit(0))
+    anchors = shapes.select(*[c for c in group if c not in by], on(key).alias("ann_id"), "_shape", "_same", G.bounding_box(on(rings)).alias("_b"), edge.alias("_e")).filter("_e is not null")
+    asked = counts.select(*by, _need(factor)).join(anchors, "ann_id").join(days, group).filter("_v >= _need or _same > 1")
+    probes = keep(asked.select(*group, "ann_id", "_shape", "_need", "_v", on("_e.ax").alias("_ax"), on("_e.ay").alias("_ay"), "_b"), "probes")
+
+    # a cell whose diagonal is the radius lies within it of any of its points
+    sizes = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r / math.sqrt(2) / slack).alias("s")) for k, r in enumerate(radii)])
+    cell = lambda x, y: {"_k": on("_l.k"), "_cx": F.floor(on(x) / on("_l.s")), "_cy": F.floor(on(y) / on("_l.s"))}
+    crowded = veg.join(days.filter(on("_v") > FEW), group).select(*group, "x", "y", F.explode(sizes).alias("_l")).withColumns(cell("x", "y"))
+    held = crowded.groupBy(*group, "_k", "_cx", "_cy").agg(F.count(F.lit(1)).alias("_held"))
+    looked = probes.filter(on("_v") > FEW).select(*group, "ann_id", "_need", "_ax", "_ay", F.explode(sizes).alias("_l")).withColumns(cell("_ax", "_ay")).drop("_l", "_ax", "_ay")
+    bound = looked.join(held, [*group, "_k", "_cx", "_cy"]).filter("_held >= _need").groupBy(*by).agg(F.min("_k").alias("_k"))
+    bounded = probes.join(bound, by, "left").withColumn("_k", F.coalesce("_k", F.lit(rungs - 1)))
+
+    def met(asking: DataFrame) -> DataFrame:
+        """Vegetation within the radius of the rung ``_k`` of the extent; a crowded day by cells of its levels."""
+        r, width = radius, F.greatest(F.lit(640.0), 2 * radius)
+        level = F.when(on("_v") > FEW, F.greatest(on("_k"), F.lit(sum(2 * x < 640 for x in radii) - 1))).otherwise(-1)
+        reach = asking.withColumns({"_r": r * slack, "_w": F.when(on("_v") > FEW, width), "_level": level})
+        cells = lambda lo, hi: F.when(on("_w").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.floor((on(lo) - on("_r")) / on("_w")), F.floor((on(hi) + on("_r")) / on("_w"))))
+        placed = reach.withColumn("_cx", F.explode(cells("_b.minx", "_b.maxx"))).withColumn("_cy", F.explode(cells("_b.miny", "_b.maxy"))).drop("_w", "_v", "_k")
+        levels = reach.select(*group, "_level", "_w").distinct()
+        at = lambda c: F.when(on("_w").isNull(), F.lit(0).cast("bigint")).otherwise(F.floor(on(c) / on("_w")))
+        there = veg.join(levels, group).withColumns({"_cx": at("x"), "_cy": at("y")}).drop("_w")
+        off = lambda c, lo, hi: F.greatest(on(lo) - on(c), on(c) - on(hi), F.lit(0.0))
+        dx, dy = off("x", "_b.minx", "_b.maxx"), off("y", "_b.miny", "_b.maxy")
+        return there.join(placed, [*group, "_level", "_cx", "_cy"]).withColumn("_low2", dx * dx + dy * dy).filter(on("_low2") <= on("_r") * on("_r"))
+
+    dx, dy = on("x") - on("_ax"), on("y") - on("_ay")
+    each = met(bounded).select(*by, "_need", of((dx * dx + dy * dy) * slack).alias("_at"), (on("_low2") <= (max([r for r in radii if r <= empty_limit], default=-1.0) * slack) ** 2).alias("_close"))
+    tally = each.groupBy(*by).agg(F.max("_need").alias("_need"), F.max("_close").alias("_close"), *[F.sum((on("_at") <= k).cast("int")).alias(f"_n{k}") for k in range(rungs)])
+    enough = F.least(*[F.when(on(f"_n{k}") >= on("_need"), k).otherwise(rungs - 1) for k in range(rungs)])
+    nearest = keep(tally.filter("_close").select(*by, enough.alias("_k")), "rungs")
+    d2 = dx * dx + dy * dy
+    vertex = F.when(of(on("_low2") / slack) == of(d2 * slack), F.sqrt(d2))
+    pairs = met(probes.join(nearest, by)).select(*by, "_shape", "_need", "x", "y", ndvi, scl, vertex.alias("_vertex"))
+    # joined by ann_id alone, not by _shape, so the rows lie as all later groups need them
+    edged = pairs.join(shapes.select(on(key).alias("ann_id"), on("_shape").alias("_of"), G.edges(on(rings)).alias("_edges")), "ann_id").filter(on("_shape") - on("_of") == 0)
+    return edged.withColumn("dist", F.explode(F.array(F.when(on("_vertex").isNotNull(), on("_vertex")).otherwise(G.distance(on("_edges"), on("x"), on("y")))))).drop("_edges", "_shape", "_of", "_vertex")
+
+
 def growing_buffer_ndvi(near: DataFrame, counts: DataFrame, by: list[str], ndvi: str = "ndvi", scl: str = "scl", first: float = 100.0, growth: float = 1.5, rungs: int = 8, factor: int = 5, empty_limit: float = 500.0) -> DataFrame:
     """``by``, radius, mean, median of vegetation in the smallest buffer with enough of it.
 
     Enough is ``factor`` times the annotation's own pixel count ``n`` in ``counts``, and at least
     one. Radii are ``first`` x ``growth``^k. Too little vegetation within the last rung, or none
     within ``empty_limit``, gives nulls. ``near`` holds ``dist`` per pixel (``pixels_around`` with
-    inner < 0 and outer the last radius).
+    inner < 0 and outer the last radius; or ``in_growing_reach``, which also brings ``_need``).
     """
     radii = [first * growth**k for k in range(rungs)]
     rung = F.lit(rungs)
@@ -95,8 +164,8 @@ def growing_buffer_ndvi(near: DataFrame, counts: DataFrame, by: list[str], ndvi:
     # while a buffer is still empty, growth ends beyond the limit
     seen = F.min("_k").over(group) <= max([k for k in range(rungs) if radii[k] <= empty_limit], default=-1)
     within = F.count(F.lit(1)).over(group.orderBy("_k").rangeBetween(Window.unboundedPreceding, 0))
-    need = counts.select(*by, F.greatest(F.lit(1), F.col("n") * factor).alias("_need"))
-    enough = veg.join(need, by).withColumn("_enough", F.when(seen & (within >= F.col("_need")), F.col("_k")))
+    needed = veg if "_need" in near.columns else veg.join(counts.select(*by, _need(factor)), by)
+    enough = needed.withColumn("_enough", F.when(seen & (within >= F.col("_need")), F.col("_k")))
     picked = enough.withColumn("_pick", F.min("_enough").over(group))
     value = F.when(F.col("_k") <= F.col("_pick"), F.col(ndvi))
     stats = picked.groupBy(*by).agg(F.max("_pick").alias("_pick"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"))

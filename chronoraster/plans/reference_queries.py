@@ -19,6 +19,7 @@ from ..functions.missing import is_missing, usable
 from ..functions.predicates import time_valid
 from ..operators import changepoint, patches, raster, scenes, timeseries, zonal
 from ..operators.proximity import crs_code
+from ..session import keep
 from ..skew import bucketed_rank
 from ..sources import cube, geotiff
 from . import pipelines
@@ -312,19 +313,28 @@ def ring_ndvi(spark, d):
 def _rungs(spark, d) -> int:
     """Rungs of the ladder 100 x 1.5^k up to the largest raster's diagonal, eight at least."""
     side = lambda n, a: F.col(n) * F.abs(F.col(f"geotransform.{a}"))
-    reach = catalogue(spark, d).agg(F.max(F.hypot(side("width", "a"), side("height", "e")))).first()[0] or 0.0
-    return max(8, 1 + math.ceil(math.log(max(reach, 100.0) / 100.0, 1.5)))
+    diagonal = F.hypot(side("width", "a"), side("height", "e"))
+    # only scenes listed with several sizes need the choice between their rows
+    each = _t(spark, d, "scenes").filter("scene_id is not null").groupBy("scene_id").agg(F.min(diagonal).alias("lo"), F.max(diagonal).alias("hi"), (F.count(diagonal) % F.count(F.lit(1))).alias("some"))
+    clear = (F.coalesce("lo", F.lit(0.0)) == F.coalesce("hi", F.lit(0.0))) & (F.col("some") == 0)
+    reach, unclear = each.agg(F.max(F.when(clear, F.col("hi"))), F.count_if(~clear)).first()
+    if unclear:
+        listed = scenes.distinct_scenes(_t(spark, d, "scenes").join(each.filter(~clear).select("scene_id"), "scene_id", "left_semi"))
+        reach = max(reach or 0.0, listed.agg(F.max(diagonal)).first()[0] or 0.0)
+    return max(8, 1 + math.ceil(math.log(max(reach or 0.0, 100.0) / 100.0, 1.5)))
+
+
+def _own(spark, d):
+    return keep(zonal.gated_ndvi(_inside(spark, d), ["ann_id", "date"]), "own")
 
 
 def _vegetation_near(spark, d, own, rungs):
-    """Vegetation around the annotations on the days on which they have pixels of their own."""
-    dated = annotations(spark, d).join(own.select(F.col("ann_id").alias("id"), "date").distinct(), "id")
-    outer = 100 * 1.5 ** (rungs - 1)
-    return zonal.pixels_around(pixels(spark, d).filter("scl = 4"), dated, ["cube_name", "date"], -1.0, outer, cell=2 * outer)
+    """Vegetation that decides the ladder, on the days on which annotations have pixels of their own."""
+    return zonal.in_growing_reach(pixels(spark, d), annotations(spark, d), own, ["cube_name", "date"], ["ann_id", "date"], rungs=rungs)
 
 
 def buffer_ladder_ndvi(spark, d):
-    own = zonal.gated_ndvi(_inside(spark, d), ["ann_id", "date"])
+    own = _own(spark, d)
     rungs = _rungs(spark, d)
     z = zonal.growing_buffer_ndvi(_vegetation_near(spark, d, own, rungs), own, ["ann_id", "date"], rungs=rungs)
     return z.select("ann_id", "date", "radius", r("mean").alias("mean"), r("median").alias("median"))

@@ -1,3 +1,7 @@
+import datetime as dt
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from chronoraster.functions import geometry as G
@@ -25,6 +29,39 @@ def test_the_ladder_asks_for_five_times_the_pixels_up_to_the_rasters_extent(spar
     assert got == want and Q._rungs(spark, SMALL) > 8
 
 
+def test_the_ladder_of_a_crowded_day_pairs_annotations_with_what_decides_them(spark, tmp_path):
+    rnd, day = random.Random(5), dt.datetime(2018, 5, 1)
+    at = [(200005.0 + 10 * rnd.randrange(2500), 9290005.0 + 10 * rnd.randrange(2500)) for _ in range(900)] + [(600005.0 + 10 * k, 9290005.0) for k in range(20)]
+    shapes = []
+    for k, (x, y) in enumerate(at[::9]):
+        size = 6.0 if k % 5 else rnd.uniform(50, 900)
+        ring = [(x + size * math.cos(a) * rnd.uniform(0.95, 1), y + size * math.sin(a)) for a in (0.3, 1.4, 2.6, 3.9, 5.2)]
+        shapes.append((k, "c", [[{"x": px, "y": py} for px, py in ring]], None, None, "EPSG:32633"))
+    shapes.append((500, "c", None, None, None, "EPSG:32633"))
+    spark.createDataFrame(shapes, "id long, cube_name string, rings array<array<struct<x: double, y: double>>>, pre_date date, post_date date, crs string").write.parquet(f"{tmp_path}/annotations.parquet")
+    # the second day has few pixels, and of the first every third is no vegetation
+    rows = [(i, "c", "s", day + dt.timedelta(days=int(i % 90 == 5)), 0, 0, x, y, 0, 0, 1, 1.0, 900.0, 2000.0 + i, 5 if i % 3 == 1 else 4, 0) for i, (x, y) in enumerate(at)]
+    rows += [(i, "c", "s", day, 0, 0, x, y, 0, 0, 1, 1.0, 900.0, 3000.0, 4, 0) for i, (x, y) in ((2000, (float("nan"), 9290005.0)), (2001, (None, 9290005.0)))]
+    schema = "pixel_id long, cube_name string, scene_id string, obs_time timestamp, row_idx int, col_idx int, x double, y double, tile_i int, tile_j int, id long, b02 double, b04 double, b08 double, scl int, mask int"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/xds_pixels.parquet")
+    size = "named_struct('a', 10D, 'b', 0D, 'c', 200000D, 'd', 0D, 'e', -10D, 'f', 9300000D)"
+    both = [f"select 's' scene_id, {size} geotransform, {w} width, 100 height" for w in (60000, 9)]
+    spark.sql(" union all ".join([*both, f"select null, {size}, 900000, 1"])).write.parquet(f"{tmp_path}/scenes.parquet")
+    d, by = str(tmp_path), ["ann_id", "date"]
+    # the first of both rows of the scene counts
+    first = Q.catalogue(spark, d).select("width").first().width
+    assert Q._rungs(spark, d) == max(8, 1 + math.ceil(math.log(math.hypot(10 * first, 1000) / 100, 1.5)))
+    own, rungs = zonal.gated_ndvi(Q._inside(spark, d), by).cache(), 23
+    dated = Q.annotations(spark, d).join(own.select(F.col("ann_id").alias("id"), "date"), "id")
+    outer = 100 * 1.5 ** (rungs - 1)
+    every = zonal.pixels_around(Q.pixels(spark, d).filter("scl = 4"), dated, ["cube_name", "date"], -1.0, outer, cell=2 * outer).cache()
+    some = Q._vegetation_near(spark, d, own, rungs).cache()
+    found = lambda near: {(r.ann_id, r.date): (r.radius, r["mean"] and round(r["mean"], 9), r["median"]) for r in zonal.growing_buffer_ndvi(near, own, by, rungs=rungs).collect()}
+    want = found(every)
+    assert found(some) == want and len({r for r, _, _ in want.values()}) > 5
+    assert some.count() * 5 < every.count()
+
+
 def test_the_pivot_holds_every_annotation_and_date(spark):
     long = Q.spectral_signature(spark, SMALL).filter("band = 'b04' and date is not null").select("ann_id", F.date_format("date", "yyyyMMdd").alias("d"), "mean").collect()
     rows = {r.ann_id: r.asDict() for r in Q.signature_pivot(spark, SMALL).collect()}
