@@ -62,6 +62,14 @@ def test_the_ladder_of_a_crowded_day_pairs_annotations_with_what_decides_them(sp
     assert some.count() * 5 < every.count()
 
 
+def test_the_dating_map_finds_the_pixels_of_the_annotations_once(spark):
+    z = Q.dating_map(spark, SMALL)
+    ladder = {(r.ann_id, r.date): (r["mean"], r["median"]) for r in Q.buffer_ladder_ndvi(spark, SMALL).collect()}
+    assert {(r.ann_id, r.date): (r.buf_mean, r.buf_median) for r in z.collect()} == ladder and len(ladder) > 0
+    # the result joins kept tables only, so its plan reads no raster or polygon anew
+    assert not any(f.split("/")[-1] in ("xds_pixels.parquet", "annotations.parquet") for f in z.inputFiles())
+
+
 def test_the_pivot_holds_every_annotation_and_date(spark):
     long = Q.spectral_signature(spark, SMALL).filter("band = 'b04' and date is not null").select("ann_id", F.date_format("date", "yyyyMMdd").alias("d"), "mean").collect()
     rows = {r.ann_id: r.asDict() for r in Q.signature_pivot(spark, SMALL).collect()}
